@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import simhash_dedup
+from ranklake.llm import secret_scan, simhash_dedup
 from ranklake.llm.common import table
 
 
@@ -14,9 +14,34 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents"))
+
+
+def _secrets_sql() -> str:
+    parts = []
+    for i, r in enumerate(secret_scan.BASE + secret_scan.MORE):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""
+    SELECT id, {i} AS place, '{r.kind}' AS kind,
+           unnest(list_transform(range(1, len(m) + 1), lambda k: list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))) AS b,
+           unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(g, lambda x: length(x))) AS kept, {r.least} AS least
+    FROM (SELECT id, regexp_split_to_array(t, '{p}') AS p, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {r.group}) AS g
+          FROM d WHERE regexp_matches(t, '{p}'))""")
+    return f"""
+WITH d AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents),
+s AS (SELECT id, place, kind, CAST(b AS BIGINT) AS b, CAST(b + size AS BIGINT) AS e FROM ({" UNION ALL ".join(parts)}) WHERE kept >= least),
+a AS (SELECT id, count_if(place = 0) AS n_assign, count_if(place = 1) AS n_access, count_if(place = 2) AS n_hex,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) FILTER (WHERE place < 3) AS base,
+             string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, place) AS spans FROM s GROUP BY id)
+SELECT d.id AS doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a ON d.id = a.id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secrets": _secrets_sql()}
