@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import secret_scan, simhash_dedup
+from ranklake.llm import line_dedup, secret_scan, simhash_dedup
 from ranklake.llm.common import table
 
 
@@ -39,9 +39,23 @@ SELECT d.id AS doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(c
 FROM d LEFT JOIN a ON d.id = a.id"""
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+LINES_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+w AS (SELECT doc_id, i, line, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY line, b, c ORDER BY doc_id, i) AS nth FROM w WHERE c IS NOT NULL AND trim(concat(line, b, c)) <> ''),
+x AS (SELECT DISTINCT doc_id, i + k AS i FROM r, (VALUES (0), (1), (2)) AS o(k) WHERE nth > 1)
+SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.i) FILTER (WHERE x.i IS NULL), '') AS text,
+       CAST(count(*) AS INTEGER) AS n_lines, CAST(count(x.i) AS INTEGER) AS n_removed
+FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.i = x.i GROUP BY l.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secrets": _secrets_sql()}
+    return {"op3_secrets": _secrets_sql(), "op5_line_dedup": LINES_SQL}
