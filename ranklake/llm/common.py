@@ -75,6 +75,13 @@ def _drop_quietly(spark: SparkSession, path: str) -> None:
         pass
 
 
+def tokenizer_path(name: str) -> str:
+    """Where the driver finds a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
