@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import line_dedup, piece_codec, secret_scan, simhash_dedup
+from ranklake.llm import bestfit_pack, line_dedup, piece_codec, secret_scan, simhash_dedup
 from ranklake.llm.common import table, tokenizer_path
 
 
@@ -47,6 +47,10 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048)
+
+
 LINES_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, line, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
