@@ -82,6 +82,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """The expression that parts texts for the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
