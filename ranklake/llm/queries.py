@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import bestfit_pack, line_dedup, piece_codec, secret_scan, simhash_dedup, token_counts
+from ranklake.llm import bestfit_pack, line_dedup, piece_codec, progressive_jpeg, secret_scan, simhash_dedup, token_counts
 from ranklake.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -55,6 +55,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.by_section(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_pattern())
 
 
+def op6_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.digests(progressive_jpeg.media(table(spark, sf_dir, "documents")))
+
+
 LINES_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, line, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
