@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import bestfit_pack, chunk_dedup, line_dedup, piece_codec, progressive_jpeg, secret_scan, simhash_dedup, token_counts
+from ranklake.llm import bestfit_pack, chunk_dedup, line_dedup, piece_codec, pivot_dedup, progressive_jpeg, secret_scan, simhash_dedup, token_counts
 from ranklake.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
+def op1_pivot_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), words=3, radius=3)
 
