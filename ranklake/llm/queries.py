@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ranklake.llm import bestfit_pack, chunk_dedup, line_dedup, piece_codec, pivot_dedup, progressive_jpeg, secret_scan, simhash_dedup, token_counts
+from ranklake.llm import bestfit_pack, chunk_dedup, line_dedup, piece_codec, pivot_dedup, progressive_jpeg, pu_quality, secret_scan, simhash_dedup, token_counts
 from ranklake.llm.common import table, tokenizer_path, tokenizer_pattern
 
 
@@ -67,6 +67,10 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pu_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 LINES_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
 w AS (SELECT doc_id, i, line, lead(line) OVER d AS b, lead(line, 2) OVER d AS c FROM l WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
