@@ -8,8 +8,8 @@ prior p (by default the share of ones among the labels that may be learned from)
 is minimised for the sigmoid loss l(g) = 1 / (1 + exp(g)), which is bounded, so that far-off rows don't outweigh others; while its second part is below zero the step goes against that part alone. The model is
 additive: statistics of a text, each cut into bins at quantiles and at even distances, with one weight a bin, so it is small and can't memorise.
 
-Features of all documents are computed once and written; the model is fitted on the driver from at most ``most`` positives and
-``most`` unlabelled rows (those with the smallest hashes of their ids), features only; all rows are then scored.
+The model is fitted on the driver from the features of at most ``most`` positives and ``most`` unlabelled documents (those with
+the smallest hashes of their ids); all rows are then scored in one pass.
 
 Defined results: a null text counts as empty and gets a score like any other; a null doc_id is never labelled nor held out;
 labels other than 0 and 1 are ignored, of repeated labels the mean decides; without positives all scores are the prior, 0.5 if
@@ -20,7 +20,7 @@ dropped by ``score``.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import materialize, ship, text_or_empty
+from ranklake.llm.common import ship, text_or_empty
 
 
 def _classes() -> np.ndarray:
@@ -80,15 +80,12 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): features of every text."""
-    ship(docs.sparkSession)
-
+def feature_column(text: Column) -> Column:
     @F.pandas_udf("array<float>")
     def udf(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(features(t), np.float32) for t in texts])
 
-    return docs.select("doc_id", udf(text_or_empty()).alias("x"))
+    return udf(text)
 
 
 @dataclass
@@ -136,40 +133,42 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(table: DataFrame, labels: DataFrame, most: int = 20_000, prior: float | None = None) -> Model | float:
-    """The model from a feature table and labels; without positives the prior alone."""
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float | None = None) -> Model | float:
+    """The model from documents and labels; without positives the prior alone."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where(~held_out())
     if prior is None:
         found = known.agg(F.avg((F.col("quality") >= 0.5).cast("int")).alias("p")).first()["p"]
         prior = 0.5 if found is None else float(np.clip(found, 0.01, 0.99))
-    free = table.where(~held_out())
-    order = F.xxhash64("doc_id")
+    free = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct()
 
-    def sample(df: DataFrame) -> np.ndarray:
-        rows = df.select("x", order.alias("h")).orderBy("h", "x").limit(most).collect()  # features of ``most`` rows
-        return np.array([r["x"] for r in rows], dtype=np.float64).reshape(-1, len(NAMES))
+    def sample(ids: DataFrame) -> np.ndarray:
+        chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so a broadcast of ``most`` ids at most
+        rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
+        got = rows.select(feature_column(F.col("text")).alias("x")).limit(2 * most).collect()
+        return np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(NAMES))
 
-    positive = sample(free.join(known.where("quality >= 0.5").select("doc_id"), "doc_id"))
+    positive = sample(free.join(known.where("quality >= 0.5").select("doc_id"), "doc_id", "left_semi"))
     unlabelled = sample(free)
     return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else prior
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document."""
-    table, _ = materialize(feature_table(docs), "features")
-    probability = scorer(train(table, labels, most))
-    out = table.select("doc_id", held_out().alias("held_out"), probability(F.col("x")).alias("score"))
+    ship(docs.sparkSession)
+    probability = scorer(train(docs, labels, most))
+    out = docs.select("doc_id", held_out().alias("held_out"), probability(text_or_empty()).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def scorer(model: Model | float):
-    """A column function from features to scores."""
+def scorer(model: Model | float) -> Callable[[Column], Column]:
+    """A column function from texts to scores."""
 
     @F.pandas_udf("double")
-    def udf(x: pd.Series) -> pd.Series:
+    def udf(texts: pd.Series) -> pd.Series:
         if not isinstance(model, Model):
-            return pd.Series(np.full(len(x), model))
-        return pd.Series(model.scores(np.stack(x.to_numpy()).astype(np.float64)))
+            return pd.Series(np.full(len(texts), model))
+        x = np.array([features(t) for t in texts], dtype=np.float32).reshape(-1, len(NAMES))
+        return pd.Series(model.scores(x.astype(np.float64)))
 
     return udf
 
@@ -177,11 +176,5 @@ def scorer(model: Model | float):
 def keep(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
     """The rows of docs that are predicted good, with all their columns."""
     ship(docs.sparkSession)
-    table, _ = materialize(feature_table(docs), "features")
-    probability = scorer(train(table, labels, most))
-
-    @F.pandas_udf("array<float>")
-    def again(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(features(t), np.float32) for t in texts])
-
-    return docs.where(probability(again(text_or_empty())) >= 0.5)
+    probability = scorer(train(docs, labels, most))
+    return docs.where(probability(text_or_empty()) >= 0.5)

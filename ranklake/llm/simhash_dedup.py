@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from ranklake.llm.common import connected_components, materialize, ship, text_or_empty
 
 BITS = 64
-#: What one candidate costs, in probes.
-CANDIDATE_COST = 0.5
+#: What one candidate costs, in probes: a comparison inside the join against a row that is made, shuffled and sorted.
+CANDIDATE_COST = 0.01
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -90,8 +90,8 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> list[int]:
-    """Thresholds that sum to radius - parts + 1 (-1: the part isn't probed) at the least estimated cost."""
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
+    """The least estimated cost, and thresholds that sum to radius - parts + 1 (-1: the part isn't probed)."""
     p = both.diagonal() / max(n, 1)
     differ = 2 * p * (1 - p)
 
@@ -114,7 +114,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) ->
                 if used + t + 1 not in following or new < following[used + t + 1]:
                     following[used + t + 1] = new
         best = following
-    return best[radius + 1][1]  # the sum of (t + 1) is radius + 1
+    return best[radius + 1]  # the sum of (t + 1) is radius + 1
 
 
 def _signed(x: int) -> int:
@@ -126,11 +126,14 @@ def _ball(i: int, part: Column, deltas: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, deltas)), lambda d: F.struct(F.lit(i).cast("byte").alias("part"), part.bitwiseXOR(d).alias("key")))
 
 
-def links(fps: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
-    """Pairs (src, dst), src < dst, of distinct fingerprints ``fps`` (fp) that differ in ``radius`` bits or fewer."""
+def links(fps: DataFrame, radius: int = 3, parts: tuple[int, ...] = (2,)) -> DataFrame:
+    """Pairs (src, dst), src < dst, of distinct fingerprints ``fps`` (fp) that differ in ``radius`` bits or fewer.
+
+    Of the numbers of parts given the one with the least estimated cost is taken; a pair may come more than once.
+    """
     n, both = bit_statistics(fps)
-    groups = group_bits(n, both, parts)
-    thresholds = allocate(n, both, groups, radius)
+    groupings = [group_bits(n, both, m) for m in parts]
+    (_, thresholds), groups = min(((allocate(n, both, g, radius), g) for g in groupings), key=lambda x: x[0][0])
     store, probe = [], []
     for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t < 0:
@@ -146,7 +149,7 @@ def links(fps: DataFrame, radius: int = 3, parts: int = 2) -> DataFrame:
     return probes.join(stored, near).select("src", "dst")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = (2,)) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept): components of fingerprints linked within ``radius`` bits."""
     ship(docs.sparkSession)
     with_fp, _ = materialize(docs.select("doc_id", fingerprint_column(text_or_empty(), words).alias("fp")), "simhash")
@@ -158,3 +161,80 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: int
     return with_fp.join(of_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
     )
+
+
+def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles of a text, A-Z lower-cased; empty without words."""
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not w:
+        return np.zeros(0, np.int64)
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
+    n = max(1, len(w) - words + 1)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n)).view(np.int64)
+
+
+def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = (2, 3, 4), similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, th, component): texts linked by fingerprints of ``words``-word shingles within ``radius`` bits and a Jaccard
+    similarity of their sets of ``shingle``-word shingles of at least ``similarity``.
+
+    Texts with equal sets are one class. Candidates are verified in two turns: each class with its smallest candidate, then
+    the candidates whose ends are still in different components; the components are those of all verified pairs, while
+    dense groups cost a row for each class, not for each pair. th is a hash of the text.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+
+    @F.pandas_udf("struct<fp long, k1 long, k2 long>")
+    def describe(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            s = shingle_set(t, shingle).tobytes()
+            rows.append((_signed(fingerprint(t, words)), _signed(xxhash.xxh64_intdigest(s, 1)), _signed(xxhash.xxh64_intdigest(s, 2))))
+        return pd.DataFrame(rows, columns=["fp", "k1", "k2"])
+
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle) for t in texts])
+
+    text = text_or_empty()
+    th = F.xxhash64(text).alias("th")
+    rows, _ = materialize(docs.select("doc_id", th, describe(text).alias("d")).select("doc_id", "th", "d.fp", F.struct("d.k1", "d.k2").alias("cls")), "described")
+    classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th")).alias("m")).select("cls", "m.fp", "m.th"), "sets")
+    fps = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    found = links(fps.select("fp"), radius, parts).distinct()
+    found = found.unionByName(fps.where("n > 1").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
+    a, b = (classes.select(F.col("cls").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
+    one_way = found.join(a, "src").join(b, "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
+    pairs, _ = materialize(one_way.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
+    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+    asked = classes.join(ends, "cls").select("cls", "th")
+    source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
+    held, _ = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        x, y = held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), held.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+        return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    first, _ = materialize(verified(pairs.groupBy("b").agg(F.min("a").alias("a"))), "links")
+    so_far, _ = connected_components(first)
+    of = {c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")}
+    apart = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    second, _ = materialize(verified(apart), "links")
+    labels, _ = connected_components(first.unionByName(second))
+    out = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
+    return out.select("doc_id", "th", F.coalesce("component", "cls").alias("component"))
+
+
+def deduplicate(docs: DataFrame, **how: object) -> DataFrame:
+    """docs with one row of each component of ``components``: that with the smallest doc_id, of equals the smallest text.
+
+    A null doc_id comes last; of rows equal in doc_id and text one stays.
+    """
+    labelled, _ = materialize(components(docs, **how), "components")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
+    best = labelled.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"))
+    keyed = docs.withColumn("__key", F.xxhash64(text_or_empty()))
+    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
