@@ -1 +1 @@
-"""."""
+"""Readers and writers with fixed schemas."""
