@@ -3,8 +3,8 @@
 A gear hash rolls over the bytes of a text: h = (h << 1) + gear[byte] in 16 bits, so it depends on the last 16 bytes only. A
 chunk ends where the top bits of h are zero, at the least size or later, or at the greatest size; boundaries follow content,
 so an insertion moves only the chunks it touches. Chunks are grouped by a 128-bit digest; the first occurrence of each, by
-doc_id and then position, stays. Later occurrences are repeats; runs of adjacent repeats of at least ``least_run`` bytes are
-removed, shorter ones are chance and stay.
+doc_id and then position, stays. Later occurrences are repeats; runs of adjacent repeats of at least ``least_run`` characters
+are removed, shorter ones are chance and stay.
 
 The hash is the same for all windows, so it is computed for all positions at once by doubling: the sum over 2k bytes is the
 sum over the last k plus the sum over the k before, shifted by k.
@@ -80,25 +80,26 @@ def chunk_ends(raw: bytes, bits: int, least: int, most: int) -> list[int]:
 
 
 def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
-    """(doc_id, th, start, size, h1, h2): a row a chunk; th is a hash of the whole text."""
+    """(doc_id, th, start, size, h1, h2): a row a chunk, in code points; th is a hash of the whole text."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            start, size, digest, count = [], [], [], []
+            start, size, digest, count = [np.zeros(0)], [np.zeros(0)], [], []
             for t in b["text"]:
                 raw = t.encode("utf-8", "surrogatepass")
                 at, ends = 0, chunk_ends(raw, bits, least, most)
                 for e in ends:
                     digest.append(xxhash.xxh3_128_digest(raw[at:e]))
-                    start.append(at)
-                    size.append(e - at)
                     at = e
                 count.append(len(ends))
+                chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[[0, *ends]]
+                start.append(chars[:-1])
+                size.append(np.diff(chars))
             h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].repeat(count).to_numpy(), "th": b["th"].to_numpy().repeat(count),
-                "start": np.array(start, np.int32), "size": np.array(size, np.int32), "h1": h[:, 0], "h2": h[:, 1],
+                "start": np.concatenate(start).astype(np.int32), "size": np.concatenate(size).astype(np.int32), "h1": h[:, 0], "h2": h[:, 1],
             })
 
     rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
@@ -113,51 +114,28 @@ def repeats(cut: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, bits: int = 5, least: int = 24, most: int = 256, least_run: int = 100) -> DataFrame:
-    """docs with repeated passages removed from ``text``, and n_repeats, removed_bytes and ``removed``.
+    """docs with repeated passages removed from ``text``, and n_repeats, removed_chars and ``removed``.
 
-    ``removed`` holds the removed spans (start, end) in code points of the original text.
+    ``removed`` holds the removed spans (start, end) in code points of the original text. Texts are shuffled once, to meet
+    their repeats, and cut with SQL functions.
     """
-    ship(docs.sparkSession)
     cut, _ = materialize(chunks(docs, bits, least, most), "chunks")
-    of_doc = repeats(cut).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("__chunks"))
+    of_doc = repeats(cut).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("__chunks"))
     found = of_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__chunks")
-    names = ("n_repeats", "removed_bytes", "removed")
+    names = ("n_repeats", "removed_chars", "removed")
     keyed = docs.select(*[c for c in docs.columns if c not in names]).withColumn("__key", F.xxhash64(text_or_empty()))
     both = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
-
-    @F.pandas_udf("struct<text string, n_repeats int, removed_bytes long, removed array<struct<start: int, end: int>>>")
-    def clean(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s in zip(text, spans, strict=True):
-            if s is None or not len(s):
-                rows.append((t, 0, 0, []))
-                continue
-            raw = t.encode("utf-8", "surrogatepass")
-            runs: list[list[int]] = []
-            for x in s:
-                a, e = x["start"], x["start"] + x["size"]
-                if runs and runs[-1][1] == a:
-                    runs[-1][1] = e
-                else:
-                    runs.append([a, e])
-            runs = [r for r in runs if r[1] - r[0] >= least_run]
-            kept, removed, at, chars = [], [], 0, 0
-            for a, e in runs:
-                before, gone = raw[at:a].decode("utf-8", "surrogatepass"), raw[a:e].decode("utf-8", "surrogatepass")
-                kept.append(before)
-                chars += len(before)
-                removed.append({"start": chars, "end": chars + len(gone)})
-                chars += len(gone)
-                at = e
-            kept.append(raw[at:].decode("utf-8", "surrogatepass"))
-            rows.append(("".join(kept), len(s), sum(e - a for a, e in runs), removed))
-        return pd.DataFrame(rows, columns=["text", "n_repeats", "removed_bytes", "removed"])
-
-    hit = F.col("__chunks").isNotNull()
-    # Rows without repeats never enter Python.
-    done = both.where(hit).withColumn("__c", clean(text_or_empty(), F.col("__chunks")))
-    rest = both.where(~hit)
-    kept = keyed.drop("__key").columns
+    # Adjacent repeats make one run: it begins where no repeat ends and ends where none begins.
+    begins = F.filter("__chunks", lambda x, i: ~F.coalesce(F.get("__chunks", i - 1)["end"] == x["start"], F.lit(False)))
+    ends = F.filter("__chunks", lambda x, i: ~F.coalesce(F.get("__chunks", i + 1)["start"] == x["end"], F.lit(False)))
+    runs = F.zip_with(begins, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = done.select(*[F.col("__c.text").alias("text") if c == "text" else F.col(c) for c in kept], *[F.col(f"__c.{c}").alias(c) for c in names])
-    return rest.select(*kept, F.lit(0).alias("n_repeats"), F.lit(0).cast("long").alias("removed_bytes"), none.alias("removed")).unionByName(out)
+    long_runs = F.coalesce(F.filter(runs, lambda r: r["end"] - r["start"] >= least_run), none)
+    marked = both.withColumn("removed", long_runs).withColumn("n_repeats", F.coalesce(F.size("__chunks"), F.lit(0)))
+    kept = F.transform(
+        F.sequence(F.lit(0), F.size("removed")),
+        lambda i: F.struct(F.coalesce(F.get("removed", i - 1)["end"], F.lit(0)).alias("a"), F.coalesce(F.get("removed", i)["start"], F.length("text")).alias("b")),
+    )
+    text = F.when(F.size("removed") > 0, F.array_join(F.transform(kept, lambda r: F.substring(F.col("text"), r["a"] + 1, r["b"] - r["a"])), "")).otherwise(F.col("text"))
+    total = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return marked.select(*[text.alias("text") if c == "text" else F.col(c) for c in keyed.columns if c != "__key"], F.greatest("n_repeats", F.lit(0)).alias("n_repeats"), total.alias("removed_chars"), "removed")
