@@ -31,15 +31,16 @@ from tokenizers import Tokenizer
 from ranklake.llm.common import materialize, ship, text_or_empty
 
 #: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept.
-WORDS, PLAIN, LONGEST = 300_000, 800_000, 48
+WORDS, PLAIN, LONGEST = 500_000, 800_000, 48
 SALTS = 64
-_SPACE = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
+#: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokens:
     """A tokenizer that lower-cases, drops white space and marks word ends, so that a text's ids are those of its words.
 
-    Words are cut at spaces, tabs and line ends. A word of letters, or of letters and one ASCII mark at the end, is the same
+    Words are cut at spaces, tabs and line ends. A word of letters, or of letters and ASCII marks after them, is the same
     whatever its case and neighbours; the library encodes new ones together and the word-end marks part them again. Any
     other word is encoded by itself.
     """
@@ -53,7 +54,7 @@ class WordTokens:
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}  # words as they stand in the text
         self._plain: dict[str, bytes] = {}  # lower-case words of letters
-        self._marks = {m: self._one(m) for m in ".,;:!?|"}
+        self._marks: dict[str, bytes] = {"": b""}  # groups of marks
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -62,7 +63,7 @@ class WordTokens:
         """Encodings of lower-case words of letters: one call, parted at the word ends."""
         out: dict[str, bytes] = {}
         if words:
-            ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self._ends[ids]) + 1
             if len(cuts) == len(words) and cuts[-1] == len(ids):
                 packed, at = ids.tobytes(), 0
@@ -76,28 +77,37 @@ class WordTokens:
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         known, plain = self._known, self._plain
-        split = [t.translate(_SPACE).split(" ") for t in texts]
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(known) > WORDS:
             known.clear()
             known[""] = b""
         if len(plain) > PLAIN:
             plain.clear()
-        new = {w for words in split for w in words if w not in known}
-        parted: dict[str, tuple[str, bytes]] = {}
+        found = [list(map(known.get, words)) for words in split]  # a word is looked up once
+        new = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
         fresh: dict[str, bytes] = {}
+        parted: list[tuple[str, str, bytes]] = []
         for w in new:
-            mark = self._marks.get(w[-1])
-            letters = w if mark is None else w[:-1]
-            if letters.isalpha() and (letters.isascii() or letters == unicodedata.normalize("NFC", letters)) and "\u03a3" not in letters:
-                parted[w] = (letters.lower(), mark or b"")
+            letters = w.rstrip(MARKS)
+            if letters.isalpha() and (letters.isascii() or (unicodedata.is_normalized("NFC", letters) and "\u03a3" not in letters)):
+                tail = w[len(letters) :]
+                mark = self._marks.get(tail)
+                if mark is None:
+                    if len(self._marks) > 10_000:
+                        self._marks = {"": b""}
+                    mark = self._marks[tail] = self._one(tail)
+                parted.append((w, letters.lower(), mark))
             else:
                 fresh[w] = self._one(w)
-        learnt = self._learn(list({x for x, _ in parted.values() if x not in plain}))
+        learnt = self._learn(list({x for _, x, _ in parted if x not in plain}))
         plain.update(learnt)
-        fresh.update((w, plain[x] + mark) for w, (x, mark) in parted.items())
+        for w, x, mark in parted:
+            fresh[w] = plain[x] + mark
         known.update(fresh)
-        for words in split:
-            yield np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+        for words, got in zip(split, found, strict=True):
+            if None in got:
+                got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
+            yield np.frombuffer(b"".join(got), "<u4")
         if any(len(w) > LONGEST for w in fresh):
             for w in [w for w in fresh if len(w) > LONGEST]:
                 known.pop(w, None)
