@@ -142,7 +142,7 @@ def line_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     rows = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
     line = X.strip(F.col("line"))
     return rows.select("doc_id", "pos", line.alias("text")).where("text <> ''").select(
-        F.concat_ws(":", "doc_id", "pos").alias("row_id"), "doc_id", F.col("doc_id").cast("string").alias("article_id"), F.concat_ws("_", "doc_id", F.xxhash64("text").cast("string")).alias("unit_id"), "pos", "text"
+        F.concat_ws(":", "doc_id", "pos").alias("row_id"), "doc_id", F.col("doc_id").cast("string").alias("article_id"), F.md5("text").alias("unit_id"), "pos", "text"
     )
 
 
