@@ -37,6 +37,11 @@ QUESTION_TYPES = (
 # ------------------------------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with value computed once: what stands inside a lambda is otherwise computed again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without Unicode white space at either end."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -89,9 +94,15 @@ def split_units(c: Column) -> Column:
 
 def query_variants(c: Column) -> Column:
     """The distinct ones of: the text, its longest (first of equals), first and last sentence."""
-    s = sentences(c)
-    longest = F.aggregate(s, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
-    return F.when(F.size(s) > 1, F.array_distinct(F.array(strip(c), longest, F.element_at(s, 1), F.element_at(s, -1)))).otherwise(F.array(strip(c)))
+    def variants(s: Column) -> Column:
+        return F.when(F.size(s) > 1, F.array_distinct(F.array(strip(c), longest(s), F.element_at(s, 1), F.element_at(s, -1)))).otherwise(F.array(strip(c)))
+
+    return let(sentences(c), variants)
+
+
+def longest(parts: Column) -> Column:
+    """The longest string of an array, the first of equals; empty for none."""
+    return F.aggregate(parts, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
 
 
 def overlap(a: Column, b: Column) -> Column:
@@ -100,8 +111,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 0 where both are empty."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, overlap(a, b) / union).otherwise(F.lit(0.0))
+    def share(n: Column) -> Column:
+        union = F.size(a) + F.size(b) - n
+        return F.when(union > 0, n / union).otherwise(F.lit(0.0))
+
+    return let(overlap(a, b), share)
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
@@ -109,14 +123,21 @@ def multiset_overlap(a: Column, b: Column) -> Column:
     def times(x: Column, t: Column) -> Column:
         return F.size(F.filter(x, lambda y: y == t))
 
-    shared = F.array_intersect(a, b)
-    return F.aggregate(F.transform(shared, lambda t: F.least(times(a, t), times(b, t))), F.lit(0), lambda n, x: n + x)
+    def total(p: Column) -> Column:
+        shared = F.array_intersect(p["a"], p["b"])
+        return F.aggregate(F.transform(shared, lambda t: F.least(times(p["a"], t), times(p["b"], t))), F.lit(0), lambda n, x: n + x)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), total)
 
 
 def coverage(gold: Column, candidate: Column) -> Column:
     """Share of gold's tokens, repeats included, that are among the candidate's tokens."""
-    hit = F.size(F.filter(gold, lambda t: F.array_contains(candidate, t)))
-    return F.when(F.size(gold) > 0, hit / F.size(gold)).otherwise(F.lit(0.0))
+    return let(F.struct(gold.alias("g"), candidate.alias("c")), lambda p: let(F.struct(p["g"].alias("g"), F.array_except(p["g"], p["c"]).alias("m")), _covered))
+
+
+def _covered(p: Column) -> Column:
+    hit = F.size(F.filter(p["g"], lambda t: ~F.array_contains(p["m"], t)))
+    return F.when(F.size(p["g"]) > 0, hit / F.size(p["g"])).otherwise(F.lit(0.0))
 
 
 def set_f1(gold: Column, candidate: Column) -> Column:
@@ -126,8 +147,11 @@ def set_f1(gold: Column, candidate: Column) -> Column:
 
 def repeated_ngrams(words: Column, n: int = 4) -> Column:
     """1 - distinct / all n-grams; 0 where there is none."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) >= n, 1 - F.size(F.array_distinct(grams)) / F.size(grams)).otherwise(F.lit(0.0))
+    def grams(w: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, let(each, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g))).otherwise(F.lit(0.0))
+
+    return let(words, grams)
 
 
 def all_matches(c: Column, pattern: str) -> Column:
@@ -136,9 +160,10 @@ def all_matches(c: Column, pattern: str) -> Column:
 
 def ordered_unique(values: Column) -> Column:
     """Values with white space squeezed, the first of those equal but for case, in order."""
-    plain = F.transform(values, squeeze)
-    low = F.transform(plain, F.lower)
-    return F.filter(plain, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    def once(p: Column) -> Column:
+        return let(F.transform(p, F.lower), lambda low: F.filter(p, lambda x, i: F.array_position(low, F.lower(x)) == i + 1))
+
+    return let(F.transform(values, squeeze), once)
 
 
 def citations(c: Column) -> Column:

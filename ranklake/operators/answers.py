@@ -160,9 +160,13 @@ def retry_vetoes(question: Column, context: Column, initial: Column, retry: Colu
 
 def soft_score(question: Column, context: Column, answer: Column, initial: Column) -> Column:
     """Weighted score of an answer: issues, coverage of the question, of list items and of amounts, retention, length, repetition."""
-    q, a, first = X.content_tokens(question), X.content_tokens(answer), X.content_tokens(initial)
-    items = X.list_items(context)
-    numbers = X.amounts(context)
+    given = F.struct(
+        X.content_tokens(question).alias("q"), X.content_tokens(answer).alias("a"), X.content_tokens(initial).alias("first"), X.list_items(context).alias("items"), X.amounts(context).alias("numbers"),
+    )
+    return X.let(given, lambda g: _weighted(question, context, answer, g["q"], g["a"], g["first"], g["items"], g["numbers"]))
+
+
+def _weighted(question: Column, context: Column, answer: Column, q: Column, a: Column, first: Column, items: Column, numbers: Column) -> Column:
     keyword = F.when(F.size(q) > 0, X.overlap(q, a) / F.size(q)).otherwise(0.0)
     listed = F.when(items > 0, F.least(F.lit(1.0), X.list_items(answer) / items)).otherwise(0.0)
     numeric = F.when(F.size(numbers) > 0, F.least(F.lit(1.0), X.overlap(numbers, X.amounts(answer)) / F.least(F.lit(2), F.size(numbers)))).otherwise(0.0)

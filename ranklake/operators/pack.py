@@ -12,11 +12,11 @@ from ranklake.operators.parse import usable_title
 
 def select_span(question: Column, text: Column) -> Column:
     """The part of a text that shares most tokens with the question, the first of equals; the text where none does."""
-    parts = X.split_units(text)
-    q = X.token_set(question)
-    scored = F.transform(parts, lambda p, i: F.struct(X.overlap(q, X.token_set(p)).alias("n"), (-i).alias("place"), p.alias("part")))
-    best = F.array_max(scored)
-    return F.when((F.size(parts) > 1) & (best["n"] > 0), best["part"]).otherwise(text)
+    def best(x: Column) -> Column:
+        scored = F.transform(x["parts"], lambda p, i: F.struct(X.overlap(x["q"], X.token_set(p)).alias("n"), (-i).alias("place"), p.alias("part")))
+        return X.let(F.array_max(scored), lambda b: F.when((F.size(x["parts"]) > 1) & (b["n"] > 0), b["part"]).otherwise(text))
+
+    return X.let(F.struct(X.split_units(text).alias("parts"), X.token_set(question).alias("q")), best)
 
 
 def best_unit(candidates: DataFrame, question: str = "question", text: str = "text") -> DataFrame:
@@ -46,6 +46,10 @@ def adjacent_range(sizes: Column, at: Column, budget: Column) -> Column:
     The budget is where expansion stops, not a cap. Closed form over prefix sums: hi is the first place whose sum from ``at``
     reaches the budget; if there is none, all the rest is taken and lo is the last place whose sum to the end reaches it.
     """
+    return X.let(sizes, lambda s: _range(s, at, budget))
+
+
+def _range(sizes: Column, at: Column, budget: Column) -> Column:
     n = F.size(sizes)
 
     def total(a: Column, b: Column) -> Column:

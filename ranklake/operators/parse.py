@@ -52,32 +52,40 @@ def split_tail(c: Column, tail: str | None) -> tuple[Column, Column]:
 
 def _stripped(raw: Column, base: Column) -> Column:
     """struct<text, start, end> of a piece that begins at ``base``."""
-    left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
-    body = X.strip(raw)
-    start = base + F.when(body == "", 0).otherwise(left)
-    return F.struct(body.alias("text"), start.cast("int").alias("start"), (start + F.length(body)).cast("int").alias("end"))
+    def placed(body: Column) -> Column:
+        left = F.length(raw) - F.length(F.regexp_replace(raw, r"(?U)^\s+", ""))
+        start = base + F.when(body == "", 0).otherwise(left)
+        return F.struct(body.alias("text"), start.cast("int").alias("start"), (start + F.length(body)).cast("int").alias("end"))
+
+    return X.let(X.strip(raw), placed)
 
 
 def _cut(c: Column, pattern: str, groups: tuple[str, ...]) -> Column:
     """array<struct<head, body, at, groups...>> of the matches: the header, the text up to the next, and where that begins."""
-    bodies = F.split(c, pattern, -1)
-    heads = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    columns = [F.regexp_extract_all(c, F.lit(pattern), F.lit(k + 1)).alias(g) for k, g in enumerate(groups)]
-    rows = F.arrays_zip(heads.alias("head"), F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))).alias("body"), *columns)
-    first = F.length(F.element_at(bodies, 1))
-    ends = F.aggregate(  # where each body ends
-        rows,
-        F.array(first),
-        lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + F.length(r["head"]) + F.length(r["body"])),
-    )
-    placed = F.zip_with(rows, ends, lambda r, e: F.struct(r["head"].alias("head"), r["body"].alias("body"), (e + F.length(r["head"])).alias("at"), *[r[g].alias(g) for g in groups]))
-    return F.filter(placed, lambda r: r["head"].isNotNull())
+    def matches(bodies: Column) -> Column:
+        heads = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+        columns = [F.regexp_extract_all(c, F.lit(pattern), F.lit(k + 1)).alias(g) for k, g in enumerate(groups)]
+        rows = F.arrays_zip(heads.alias("head"), F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(0))).alias("body"), *columns)
+        return X.let(rows, lambda r: placed(r, F.length(F.element_at(bodies, 1))))
+
+    def placed(rows: Column, first: Column) -> Column:
+        ends = F.aggregate(  # where each body ends
+            rows,
+            F.array(first),
+            lambda acc, r: F.array_append(acc, F.element_at(acc, -1) + F.length(r["head"]) + F.length(r["body"])),
+        )
+        each = F.zip_with(rows, ends, lambda r, e: F.struct(r["head"].alias("head"), r["body"].alias("body"), (e + F.length(r["head"])).alias("at"), *[r[g].alias(g) for g in groups]))
+        return F.filter(each, lambda r: r["head"].isNotNull())
+
+    return X.let(F.split(c, pattern, -1), matches)
 
 
 def clauses_of(text: Column, base: Column, article_id: Column, pattern: str) -> Column:
     def clause(r: Column) -> Column:
-        s = _stripped(r["body"], base + r["at"])
-        return F.struct(F.concat(article_id, F.lit("_"), r["no"]).alias("clause_id"), r["no"].alias("clause_no"), s["text"].alias("text"), s["start"].alias("char_start"), s["end"].alias("char_end"))
+        return X.let(
+            _stripped(r["body"], base + r["at"]),
+            lambda s: F.struct(F.concat(article_id, F.lit("_"), r["no"]).alias("clause_id"), r["no"].alias("clause_no"), s["text"].alias("text"), s["start"].alias("char_start"), s["end"].alias("char_end")),
+        )
 
     return F.filter(F.transform(_cut(text, pattern, ("no",)), clause), lambda k: k["text"] != "")
 
@@ -93,16 +101,19 @@ def parse(docs: DataFrame, key: str = "doc_id", text: str = "passage", grammar:
     doc = F.col(key).cast("string")
 
     def article(r: Column) -> Column:
-        s = _stripped(r["body"], r["at"])
-        title = X.strip(r["title"])
+        return X.let(_stripped(r["body"], r["at"]), lambda s: X.let(X.strip(r["title"]), lambda title: X.let(chosen(r, s, title), lambda p: finished(r, title, p))))
+
+    def chosen(r: Column, s: Column, title: Column) -> Column:
         bare = (s["text"] == "") & (title != "")
-        body = F.when(bare, title).otherwise(s["text"])
-        start = F.when(bare, r["at"] - F.length(r["title"])).otherwise(s["start"]).cast("int")
-        end = F.when(bare, r["at"]).otherwise(s["end"]).cast("int")
-        article_id = F.concat(doc, F.lit("_"), r["no"])
         return F.struct(
-            article_id.alias("article_id"), r["no"].alias("article_no"), title.alias("title"), body.alias("text"), start.alias("char_start"), end.alias("char_end"),
-            clauses_of(body, start, article_id, grammar.clause).alias("clauses"),
+            F.when(bare, title).otherwise(s["text"]).alias("text"), F.when(bare, r["at"] - F.length(r["title"])).otherwise(s["start"]).cast("int").alias("start"),
+            F.when(bare, r["at"]).otherwise(s["end"]).cast("int").alias("end"), F.concat(doc, F.lit("_"), r["no"]).alias("id"),
+        )
+
+    def finished(r: Column, title: Column, p: Column) -> Column:
+        return F.struct(
+            p["id"].alias("article_id"), r["no"].alias("article_no"), title.alias("title"), p["text"].alias("text"), p["start"].alias("char_start"), p["end"].alias("char_end"),
+            clauses_of(p["text"], p["start"], p["id"], grammar.clause).alias("clauses"),
         )
 
     main_text = F.col("main_text")

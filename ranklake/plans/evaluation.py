@@ -184,8 +184,7 @@ def cutoff_loss(spark, sf):
 @query("context_holds_gold", f"{RUNS_SQL}, {GOLD_SQL} SELECT count(*) AS n, count_if(contains(coalesce(text, ''), s)) AS hits, round(avg(CASE WHEN contains(coalesce(text, ''), s) THEN 1 ELSE 0 END), 6) AS rate FROM a JOIN ql USING (qid) JOIN documents USING (doc_id) WHERE rank <= 5")
 def context_holds_gold(spark, sf):
     a, _ = two_runs(spark, sf)
-    s = X.sentences(F.col("question"))
-    longest = F.aggregate(s, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    longest = X.longest(X.sentences(F.col("question")))
     q = questions(spark, sf).select("qid", longest.alias("gold"))
     rows = a.where("rank <= 5").join(q, "qid").join(documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("context")), "doc_id")
     return metrics.contained(rows, "gold", "context")

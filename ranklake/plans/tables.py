@@ -61,8 +61,7 @@ gold AS (SELECT DISTINCT qid, doc_id FROM ql JOIN ds USING (s))"""
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
     """(qid, doc_id): documents that hold the passage's longest sentence; an equi-join on sentences."""
-    s = X.sentences(F.col("question"))
-    longest = F.aggregate(s, F.lit(""), lambda best, x: F.when(F.length(x) > F.length(best), x).otherwise(best))
+    longest = X.longest(X.sentences(F.col("question")))
     q = questions(spark, sf).select("qid", longest.alias("s"))
     d = documents(spark, sf).select("doc_id", F.explode(X.sentences(F.coalesce("text", F.lit("")))).alias("s"))
     return q.join(d, "s").select("qid", "doc_id").distinct()
