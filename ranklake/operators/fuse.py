@@ -47,8 +47,8 @@ def blend(run: DataFrame, alpha: float, k: int = 60, key: str = "unit_id") -> Da
     if alpha == 0:
         score = -F.col("rerank_rank").cast("double")
     else:
-        missing = F.assert_true(F.col("dense_rank").isNotNull(), "dense_rank is missing")
-        score = F.when(missing.isNull(), F.round(alpha / (k + F.col("dense_rank")) + (1 - alpha) / (k + F.col("rerank_rank")), 12))
+        missing = F.raise_error("dense_rank is missing").cast("double")
+        score = F.when(F.col("dense_rank").isNull(), missing).otherwise(F.round(alpha / (k + F.col("dense_rank")) + (1 - alpha) / (k + F.col("rerank_rank")), 12))
     w = W.partitionBy("qid").orderBy(F.col("blend").desc(), "rerank_rank", key)
     return run.withColumn("blend", score).withColumn("rank", F.row_number().over(w))
 
