@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranklake.llm.common import materialize, ship, text_or_empty
@@ -79,8 +79,14 @@ def chunk_ends(raw: bytes, bits: int, least: int, most: int) -> list[int]:
     return out
 
 
+def text_mark() -> Column:
+    """Tells texts of one doc_id apart. Ids seldom repeat, so twenty bits are enough and compress; a null id has all bits."""
+    h = F.xxhash64(text_or_empty())
+    return F.when(F.col("doc_id").isNull(), h).otherwise(F.pmod(h, F.lit(1 << 20)))
+
+
 def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
-    """(doc_id, th, start, size, h1, h2): a row a chunk, in code points; th is a hash of the whole text."""
+    """(doc_id, th, start, size, h1, h2): a row a chunk, in code points; th is ``text_mark``."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,7 +108,7 @@ def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
                 "start": np.concatenate(start).astype(np.int32), "size": np.concatenate(size).astype(np.int32), "h1": h[:, 0], "h2": h[:, 1],
             })
 
-    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
+    rows = docs.select("doc_id", text_mark().alias("th"), text_or_empty().alias("text"))
     return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, start int, size int, h1 long, h2 long")
 
 
@@ -123,7 +129,7 @@ def remove_repeats(docs: DataFrame, bits: int = 5, least: int = 24, most: int =
     of_doc = repeats(cut).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("__chunks"))
     found = of_doc.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "__chunks")
     names = ("n_repeats", "removed_chars", "removed")
-    keyed = docs.select(*[c for c in docs.columns if c not in names]).withColumn("__key", F.xxhash64(text_or_empty()))
+    keyed = docs.select(*[c for c in docs.columns if c not in names]).withColumn("__key", text_mark())
     both = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left")
     # Adjacent repeats make one run: it begins where no repeat ends and ends where none begins.
     begins = F.filter("__chunks", lambda x, i: ~F.coalesce(F.get("__chunks", i - 1)["end"] == x["start"], F.lit(False)))
