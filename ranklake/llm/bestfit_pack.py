@@ -31,7 +31,7 @@ from tokenizers import Tokenizer
 from ranklake.llm.common import materialize, ship, text_or_empty
 
 #: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept.
-WORDS, PLAIN, LONGEST = 500_000, 800_000, 48
+WORDS, PLAIN, LONGEST = 1_000_000, 1_500_000, 48
 SALTS = 64
 #: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
