@@ -126,35 +126,78 @@ def _ball(i: int, part: Column, deltas: list[int]) -> Column:
     return F.transform(F.array(*map(F.lit, deltas)), lambda d: F.struct(F.lit(i).cast("byte").alias("part"), part.bitwiseXOR(d).alias("key")))
 
 
-def links(fps: DataFrame, radius: int = 3, parts: tuple[int, ...] = (2,)) -> DataFrame:
-    """Pairs (src, dst), src < dst, of distinct fingerprints ``fps`` (fp) that differ in ``radius`` bits or fewer.
-
-    Of the numbers of parts given the one with the least estimated cost is taken; a pair may come more than once.
-    """
+def partition(fps: DataFrame, radius: int, parts: tuple[int, ...]) -> tuple[list[list[int]], list[int]]:
+    """Groups of bits and their thresholds; of the numbers of parts given that with the least estimated cost."""
     n, both = bit_statistics(fps)
     groupings = [group_bits(n, both, m) for m in parts]
     (_, thresholds), groups = min(((allocate(n, both, g, radius), g) for g in groupings), key=lambda x: x[0][0])
+    return groups, thresholds
+
+
+def _part(bits: list[int]) -> Column:
+    return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
+
+
+def _stored_and_probes(fps: DataFrame, groups: list[list[int]], thresholds: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(part, key, fp, ...) of each part as it is, and of all keys in its ball; other columns of ``fps`` stay."""
     store, probe = [], []
     for i, (g, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t < 0:
             continue
-        mask = F.lit(_signed(sum(1 << b for b in g)))
-        part = F.col("fp").bitwiseAND(mask)
-        store.append(F.struct(F.lit(i).cast("byte").alias("part"), part.alias("key")))
-        probe.append(_ball(i, part, [_signed(sum(1 << b for b in c)) for e in range(t + 1) for c in combinations(g, e)]))
-    stored = fps.select(F.col("fp").alias("dst"), F.explode(F.array(*store)).alias("k")).select("k.part", "k.key", "dst")
-    probes = fps.select(F.col("fp").alias("src"), F.explode(F.concat(*probe)).alias("k")).select("k.part", "k.key", "src")
-    near = (stored["part"] == probes["part"]) & (stored["key"] == probes["key"]) & (F.col("src") < F.col("dst"))
-    near &= F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= radius
+        store.append(F.struct(F.lit(i).cast("byte").alias("part"), _part(g).alias("key")))
+        probe.append(_ball(i, _part(g), [_signed(sum(1 << b for b in c)) for e in range(t + 1) for c in combinations(g, e)]))
+    rows = (fps.select("*", F.explode(k).alias("k")).select("k.part", "k.key", *fps.columns) for k in (F.array(*store), F.concat(*probe)))
+    stored, probes = rows
+    return stored, probes
+
+
+def _differ(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def links(fps: DataFrame, radius: int, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """Pairs (src, dst), src < dst, of distinct fingerprints ``fps`` (fp) that differ in ``radius`` bits or fewer.
+
+    With a column ``group``, pairs of one group that isn't null are left out. A pair that meets in several parts comes from
+    the first of them.
+    """
+    stored, probes = _stored_and_probes(fps, groups, thresholds)
+    stored = stored.withColumnsRenamed({"fp": "dst", "group": "gd"})
+    probes = probes.withColumnsRenamed({"fp": "src", "group": "gs"})
+    near = (stored["part"] == probes["part"]) & (stored["key"] == probes["key"]) & (F.col("src") < F.col("dst")) & (_differ(F.col("src"), F.col("dst")) <= radius)
+    x = F.col("src").bitwiseXOR(F.col("dst"))
+    for i in range(1, len(groups)):
+        met_before = F.lit(False)
+        for g, t in zip(groups[:i], thresholds[:i], strict=True):
+            if t >= 0:
+                met_before |= F.bit_count(x.bitwiseAND(F.lit(_signed(sum(1 << b for b in g))))) <= t
+        near &= (probes["part"] != i) | ~met_before
+    if "group" in fps.columns:
+        near &= F.coalesce(F.col("gs") != F.col("gd"), F.lit(True))
     return probes.join(stored, near).select("src", "dst")
 
 
+def star_links(fps: DataFrame, radius: int, groups: list[list[int]], thresholds: list[int], centres: int = 2) -> DataFrame:
+    """Some of the pairs of ``links``, a few for each fingerprint whatever the size of its group.
+
+    Each key's fingerprints have ``centres`` centres, those with the smallest hashes; probes meet these alone.
+    """
+    stored, probes = _stored_and_probes(fps.select("fp"), groups, thresholds)
+    chosen = stored.groupBy("part", "key").agg(F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", F.lit(s))) for s in range(centres)])).alias("c"))
+    fp = F.col("fp")
+    linked = probes["fp"]
+    near = (chosen["part"] == probes["part"]) & (chosen["key"] == probes["key"]) & F.exists("c", lambda c: (c != linked) & (_differ(c, linked) <= radius))
+    met = probes.join(chosen, near).select("fp", F.explode(F.filter("c", lambda c: (c != fp) & (_differ(c, fp) <= radius))).alias("c"))
+    return met.select(F.least("fp", "c").alias("src"), F.greatest("fp", "c").alias("dst")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = (2,)) -> DataFrame:
     """(doc_id, fingerprint, component_id, kept): components of fingerprints linked within ``radius`` bits."""
     ship(docs.sparkSession)
     with_fp, _ = materialize(docs.select("doc_id", fingerprint_column(text_or_empty(), words).alias("fp")), "simhash")
     classes = with_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    found, _ = connected_components(links(classes.select("fp"), radius, parts))
+    fps = classes.select("fp")
+    found, _ = connected_components(links(fps, radius, *partition(fps, radius, parts)))
     member = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     ids = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of_fp = member.join(ids, "component").select("fp", "component_id")
@@ -177,9 +220,10 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
     """(doc_id, th, component): texts linked by fingerprints of ``words``-word shingles within ``radius`` bits and a Jaccard
     similarity of their sets of ``shingle``-word shingles of at least ``similarity``.
 
-    Texts with equal sets are one class. Candidates are verified in two turns: each class with its smallest candidate, then
-    the candidates whose ends are still in different components; the components are those of all verified pairs, while
-    dense groups cost a row for each class, not for each pair. th is a hash of the text.
+    Texts with equal sets are one class. Candidates are verified in two turns: first a few for each fingerprint, with centres
+    of the keys that it probes; then all candidates whose ends are still in different components. The components are
+    those of all verified pairs, while a dense group costs a few rows for each class, not one for each pair. th is a hash of
+    the text.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -200,28 +244,29 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
     th = F.xxhash64(text).alias("th")
     rows, _ = materialize(docs.select("doc_id", th, describe(text).alias("d")).select("doc_id", "th", "d.fp", F.struct("d.k1", "d.k2").alias("cls")), "described")
     classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th")).alias("m")).select("cls", "m.fp", "m.th"), "sets")
-    fps = classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    found = links(fps.select("fp"), radius, parts).distinct()
-    found = found.unionByName(fps.where("n > 1").select(F.col("fp").alias("src"), F.col("fp").alias("dst")))
-    a, b = (classes.select(F.col("cls").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst")))
-    one_way = found.join(a, "src").join(b, "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
-    pairs, _ = materialize(one_way.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    asked = classes.join(ends, "cls").select("cls", "th")
-    source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
-    held, _ = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
-
-    def verified(pairs: DataFrame) -> DataFrame:
+    fps, _ = materialize(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")), "fps")
+    groups, thresholds = partition(fps.select("fp"), radius, parts)
+    same = fps.where("n > 1").select(F.col("fp").alias("src"), F.col("fp").alias("dst"))
+    ends = {x: classes.select(F.col("cls").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst"))}
+
+    def verified(found: DataFrame) -> DataFrame:
+        """Pairs of classes (src, dst) of linked fingerprints whose sets are similar."""
+        pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b"))).select("a", "b")
+        pairs, _ = materialize(pairs, "pairs")
+        asked = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls").select("cls", "th")
+        source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
+        held, _ = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
         x, y = held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), held.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
         return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    first, _ = materialize(verified(pairs.groupBy("b").agg(F.min("a").alias("a"))), "links")
+    first, _ = materialize(verified(star_links(fps.select("fp"), radius, groups, thresholds).unionByName(same)), "links")
     so_far, _ = connected_components(first)
-    of = {c: so_far.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b")}
-    apart = pairs.join(of["a"], "a", "left").join(of["b"], "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second, _ = materialize(verified(apart), "links")
+    # A fingerprint of several classes has no group of its own, so none of its candidates is left out.
+    label = F.when(F.col("n") == 1, F.coalesce("component", "cls")["k1"])
+    grouped = fps.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("fp", label.alias("group"))
+    second, _ = materialize(verified(links(grouped, radius, groups, thresholds)), "links")
     labels, _ = connected_components(first.unionByName(second))
     out = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
     return out.select("doc_id", "th", F.coalesce("component", "cls").alias("component"))
