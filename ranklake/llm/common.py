@@ -96,31 +96,44 @@ def text_or_empty(c: str = "text") -> Column:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[str]]:
     """Components of undirected edges (src, dst), both of one orderable type.
 
-    Returns (node, component) with the smallest node reachable, for nodes that have an edge to another node, and the
-    paths written on the way that may be removed once the result has been used. Each round sends every node the smallest
-    label among its neighbours (partial minima are combined before the shuffle) and then follows labels of labels, so the
-    number of rounds grows with the logarithm of the diameter. Null ends and self-loops are ignored. No row reaches the
-    driver but the count of changed labels.
+    Returns (node, component) with the smallest node reachable, for nodes that have an edge to another node, and the paths
+    written on the way that may be removed once the result has been used. Each round hooks every node to its smallest
+    neighbour if that is smaller (partial minima are combined before the shuffle), follows the hooks to their roots, and
+    contracts the edges: those inside one tree go, the rest join roots and come once. Trees at least halve in number with
+    each round, and a dense group's edges go in the first. No row reaches the driver but whether any is left. Null ends and
+    self-loops are ignored.
     """
-    clean = edges.where("src is not null and dst is not null and src <> dst").select("src", "dst")
-    both, p_edges = materialize(clean.union(clean.select("dst", "src")).distinct(), "cc-edges")
-    labels, p_labels = materialize(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")), "cc-labels")
+    spark = edges.sparkSession
+    clean = edges.where("src is not null and dst is not null and src <> dst")
+    left, p_left = materialize(clean.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc-edges")
+    labels: DataFrame | None = None
+    p_labels = ""
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), F.col("component").alias("via")), "dst")
-            .groupBy(F.col("src").alias("node"))
-            .agg(F.min("via").alias("via"))
-        )
-        low = labels.join(near, "node").select("node", "component", F.least("component", "via").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        step = low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("lower", "low")).alias("next"), F.col("component").alias("was"))
-        new, path = materialize(step, "cc-labels")
-        changed = new.where("next <> was").limit(1).count()
-        remove(both.sparkSession, p_labels)
-        labels, p_labels = new.select("node", F.col("next").alias("component")), path
-        if not changed:
+        both = left.select(F.col("src").alias("node"), F.col("dst").alias("near")).union(left.select("dst", "src"))
+        roots, p_roots = materialize(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("root")), "cc-roots")
+        for _ in range(max_rounds):
+            above = roots.select(F.col("node").alias("root"), F.col("root").alias("higher"))
+            jumped, p_jumped = materialize(roots.join(above, "root").select("node", F.col("higher").alias("root"), (F.col("higher") != F.col("root")).alias("moved")), "cc-roots")
+            moved = not jumped.where("moved").isEmpty()
+            remove(spark, p_roots)
+            roots, p_roots = jumped.select("node", "root"), p_jumped
+            if not moved:
+                break
+        if labels is None:
+            labels, p_labels = roots.select("node", F.col("root").alias("component")), p_roots
+        else:
+            of = roots.select(F.col("node").alias("component"), "root")
+            new, path = materialize(labels.join(of, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "cc-labels")
+            remove(spark, p_labels)
+            labels, p_labels = new, path
+        a, b = roots.select(F.col("node").alias("src"), F.col("root").alias("ra")), roots.select(F.col("node").alias("dst"), F.col("root").alias("rb"))
+        apart = left.join(a, "src").join(b, "dst").where("ra <> rb").select(F.greatest("ra", "rb").alias("src"), F.least("ra", "rb").alias("dst")).distinct()
+        rest, path = materialize(apart, "cc-edges")
+        remove(spark, p_left)
+        left, p_left = rest, path
+        if left.isEmpty():
             break
     else:
         raise RuntimeError("the components did not settle")
-    remove(both.sparkSession, p_edges)
+    remove(spark, p_left)
     return labels, [p_labels]
