@@ -2,7 +2,7 @@
 
 A gear hash rolls over the bytes of a text: h = (h << 1) + gear[byte] in 16 bits, so it depends on the last 16 bytes only. A
 chunk ends where the top bits of h are zero, at the least size or later, or at the greatest size; boundaries follow content,
-so an insertion moves only the chunks it touches. Chunks are grouped by a 128-bit digest; the first occurrence of each, by
+so an insertion moves only the chunks it touches. Chunks are grouped by a 96-bit digest; the first occurrence of each, by
 doc_id and then position, stays. Later occurrences are repeats; runs of adjacent repeats of at least ``least_run`` characters
 are removed, shorter ones are chance and stay.
 
@@ -105,11 +105,11 @@ def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
             h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
             yield pd.DataFrame({
                 "doc_id": b["doc_id"].repeat(count).to_numpy(), "th": b["th"].to_numpy().repeat(count),
-                "start": np.concatenate(start).astype(np.int32), "size": np.concatenate(size).astype(np.int32), "h1": h[:, 0], "h2": h[:, 1],
+                "start": np.concatenate(start).astype(np.int32), "size": np.concatenate(size).astype(np.int32), "h1": h[:, 0], "h2": (h[:, 1] >> 32).astype(np.int32),
             })
 
     rows = docs.select("doc_id", text_mark().alias("th"), text_or_empty().alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, start int, size int, h1 long, h2 long")
+    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, th long, start int, size int, h1 long, h2 int")
 
 
 def repeats(cut: DataFrame) -> DataFrame:
