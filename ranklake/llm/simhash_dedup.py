@@ -216,25 +216,66 @@ def shingle_set(text: str | None, words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(42)), dtype="<u8", count=n)).view(np.int64)
 
 
-def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = (2, 3, 4), similarity: float = 0.8, shingle: int = 5) -> DataFrame:
-    """(doc_id, th, component): texts linked by fingerprints of ``words``-word shingles within ``radius`` bits and a Jaccard
-    similarity of their sets of ``shingle``-word shingles of at least ``similarity``.
+#: Min-hash bands and the hashes in each: sets of similarity s agree in some band with probability 1 - (1 - s^5)^24.
+BANDS, BAND_HASHES = 24, 5
+_FACTORS = np.array([xxhash.xxh64_intdigest(b"factor", k) | 1 for k in range(BANDS * BAND_HASHES)], dtype=np.uint64)
+_OFFSETS = np.array([xxhash.xxh64_intdigest(b"offset", k) for k in range(BANDS * BAND_HASHES)], dtype=np.uint64)
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key a band of the least hashes of a set from ``shingle_set``; zeros for the empty set."""
+    x = shingles.view(np.uint64)
+    if not len(x):
+        return np.zeros(BANDS, np.int64)
+    low = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(x), 1 << 12):
+        np.minimum(low, (x[None, at : at + (1 << 12)] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1), out=low)
+    return (low * _FACTORS[::-1]).reshape(BANDS, BAND_HASHES).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def _banded(rows: DataFrame) -> DataFrame:
+    """(band, key, ...) of each band of ``rows`` (keys, ...)."""
+    return rows.select(*[c for c in rows.columns if c != "keys"], F.posexplode("keys").alias("band", "key"))
+
 
-    Texts with equal sets are one class. Candidates are verified in two turns: first a few for each fingerprint, with centres
-    of the keys that it probes; then all candidates whose ends are still in different components. The components are
-    those of all verified pairs, while a dense group costs a few rows for each class, not one for each pair. th is a hash of
-    the text.
+def band_star_links(classes: DataFrame) -> DataFrame:
+    """(a, b): each class of ``classes`` (cls, keys) with one centre of each of its band keys."""
+    rows = _banded(classes.select("cls", "keys"))
+    chosen = rows.groupBy("band", "key").agg(F.min_by("cls", F.xxhash64("cls", "band")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = rows.join(chosen, ["band", "key"]).where("cls <> c")
+    return met.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
+
+
+def band_links(classes: DataFrame) -> DataFrame:
+    """(a, b): all pairs of ``classes`` (cls, keys, group) of different groups that share a band key."""
+    rows = _banded(classes.select("cls", "keys", "group"))
+    mixed = rows.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("band", "key")
+    left, _ = materialize(rows.join(mixed, ["band", "key"]), "bands")
+    x, y = (left.select("band", "key", F.col("cls").alias(c), F.col("group").alias(g)) for c, g in (("a", "ga"), ("b", "gb")))
+    return x.join(y, ["band", "key"]).where("a < b and ga <> gb").select("a", "b").distinct()
+
+
+def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = (2, 3, 4), similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+    """(doc_id, th, component): texts linked by a Jaccard similarity of their sets of ``shingle``-word shingles of at least
+    ``similarity``.
+
+    Candidates are the pairs with fingerprints of ``words``-word shingles within ``radius`` bits and those whose sets share a
+    min-hash band. Texts with equal sets are one class. Candidates are verified in two turns: first a few for each
+    fingerprint and band, with centres of the keys that it probes; then all candidates whose ends are still in different
+    components. The components are those of all verified pairs, while a dense group costs a few rows for each class, not one
+    for each pair. th is a hash of the text.
     """
     spark = docs.sparkSession
     ship(spark)
 
-    @F.pandas_udf("struct<fp long, k1 long, k2 long>")
+    @F.pandas_udf("struct<fp long, k1 long, k2 long, keys array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for t in texts:
-            s = shingle_set(t, shingle).tobytes()
-            rows.append((_signed(fingerprint(t, words)), _signed(xxhash.xxh64_intdigest(s, 1)), _signed(xxhash.xxh64_intdigest(s, 2))))
-        return pd.DataFrame(rows, columns=["fp", "k1", "k2"])
+            found = shingle_set(t, shingle)
+            s = found.tobytes()
+            rows.append((_signed(fingerprint(t, words)), _signed(xxhash.xxh64_intdigest(s, 1)), _signed(xxhash.xxh64_intdigest(s, 2)), band_keys(found)))
+        return pd.DataFrame(rows, columns=["fp", "k1", "k2", "keys"])
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
@@ -242,17 +283,17 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
 
     text = text_or_empty()
     th = F.xxhash64(text).alias("th")
-    rows, _ = materialize(docs.select("doc_id", th, describe(text).alias("d")).select("doc_id", "th", "d.fp", F.struct("d.k1", "d.k2").alias("cls")), "described")
-    classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th")).alias("m")).select("cls", "m.fp", "m.th"), "sets")
+    rows, _ = materialize(docs.select("doc_id", th, describe(text).alias("d")).select("doc_id", "th", "d.fp", F.struct("d.k1", "d.k2").alias("cls"), "d.keys"), "described")
+    classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th", "keys")).alias("m")).select("cls", "m.fp", "m.th", "m.keys"), "sets")
     fps, _ = materialize(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")), "fps")
     groups, thresholds = partition(fps.select("fp"), radius, parts)
     same = fps.where("n > 1").select(F.col("fp").alias("src"), F.col("fp").alias("dst"))
     ends = {x: classes.select(F.col("cls").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst"))}
 
-    def verified(found: DataFrame) -> DataFrame:
-        """Pairs of classes (src, dst) of linked fingerprints whose sets are similar."""
-        pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b"))).select("a", "b")
-        pairs, _ = materialize(pairs, "pairs")
+    def verified(found: DataFrame, banded: DataFrame) -> DataFrame:
+        """Pairs of classes (src, dst) whose sets are similar, of those of linked fingerprints and those given as (a, b)."""
+        pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
+        pairs, _ = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(banded).distinct(), "pairs")
         asked = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls").select("cls", "th")
         source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
         held, _ = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
@@ -261,12 +302,13 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
         alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
         return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    first, _ = materialize(verified(star_links(fps.select("fp"), radius, groups, thresholds).unionByName(same)), "links")
+    first, _ = materialize(verified(star_links(fps.select("fp"), radius, groups, thresholds).unionByName(same), band_star_links(classes)), "links")
     so_far, _ = connected_components(first)
     # A fingerprint of several classes has no group of its own, so none of its candidates is left out.
     label = F.when(F.col("n") == 1, F.coalesce("component", "cls")["k1"])
     grouped = fps.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("fp", label.alias("group"))
-    second, _ = materialize(verified(links(grouped, radius, groups, thresholds)), "links")
+    of_class = classes.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "keys", F.coalesce("component", "cls")["k1"].alias("group"))
+    second, _ = materialize(verified(links(grouped, radius, groups, thresholds), band_links(of_class)), "links")
     labels, _ = connected_components(first.unionByName(second))
     out = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
     return out.select("doc_id", "th", F.coalesce("component", "cls").alias("component"))

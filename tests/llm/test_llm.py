@@ -151,6 +151,21 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     assert simhash_dedup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_similar_sets_meet_whatever_their_fingerprints(spark):
+    rng = random.Random(5)
+    rows, far = [], 0
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        near = list(words)
+        for at in (20, 60):
+            near[at] = f"v{rng.randrange(10**6)}"  # 106 of 126 sets of five words are in both
+        a, b = " ".join(words), " ".join(near)
+        far += (simhash_dedup.fingerprint(a) ^ simhash_dedup.fingerprint(b)).bit_count() > 6
+        rows += [(2 * k, a), (2 * k + 1, b)]
+    assert far >= 5
+    assert sorted(r["doc_id"] for r in simhash_dedup.deduplicate(docs(spark, *rows)).collect()) == list(range(0, 80, 2))
+
+
 # --- 3 ---
 
 
