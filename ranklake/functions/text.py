@@ -245,7 +245,7 @@ def nfc(c: Column) -> Column:
     return udf(c)
 
 
-def segmented(c: Column, segment=None, cap: int | None = 50_000) -> Column:
-    """Tokens by a pluggable segmenter (a column function; by default lower-cased white-space tokens) of at most cap characters."""
+def segmented(c: Column, segment=None, cap: int | None = None) -> Column:
+    """Tokens by a pluggable segmenter (a column function; by default lower-cased white-space tokens), of the first cap characters if one is given."""
     text = F.substring(c, 1, cap) if cap else c
     return segment(text) if segment else tokens(F.lower(text))

@@ -34,6 +34,13 @@ def test_bm25_is_the_formula(spark):
     assert [r["doc_id"] for r in padded] == [0, 1, 2]
 
 
+def test_words_after_50000_characters_are_indexed(spark):
+    d = spark.createDataFrame([(1, "a " * 40_000 + "last"), (2, "b")], "doc_id int, text string")
+    index = bm25.build_index(d)
+    assert [r["doc_id"] for r in index["postings"].where("term = 'last'").collect()] == [1]
+    assert index["doc_stats"].where("doc_id = 1").first()["dl"] == 40_001
+
+
 def test_dense_is_brute_force(spark):
     rng = np.random.RandomState(0)
     v = rng.normal(size=(50, 8))
