@@ -66,6 +66,12 @@ def same_question(a: DataFrame, b: DataFrame, text: str = "question") -> DataFra
     return x.join(y, "q").select("qid_a", "qid_b")
 
 
+def question_classes(rows: DataFrame, text: str = "question") -> DataFrame:
+    """(qid, class_id, n): the smallest qid and the number of rows with the same question but for white space at the ends."""
+    q = rows.select("qid", X.strip(F.col(text)).alias("q")).where("q is not null")
+    return q.join(q.groupBy("q").agg(F.min("qid").alias("class_id"), F.count(F.lit(1)).alias("n")), "q").select("qid", "class_id", "n")
+
+
 def followed(retrieved: DataFrame, units: DataFrame, numbers: DataFrame, most: int = 25, near: int = 120) -> DataFrame:
     """Articles named inside retrieved texts (qid, rank, doc_id, text): (qid, doc_id, article_id, nth).
 

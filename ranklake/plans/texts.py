@@ -126,6 +126,12 @@ def same_question(spark, sf):
     return lookup.same_question(d, d)
 
 
+@query("question_classes", "SELECT doc_id AS qid, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY trim(text, ' ' || chr(10)))")
+def question_classes(spark, sf):
+    """``same_question`` over all documents: a row each instead of all pairs."""
+    return lookup.question_classes(documents(spark, sf).select(F.col("doc_id").alias("qid"), F.col("text").alias("question")))
+
+
 @query("document_numbers", f"WITH {LEGAL_SQL}, n AS (SELECT doc_id, (doc_id % 50) || '/2020/QH' || (doc_id % 7) AS number FROM ll) SELECT number, CAST(min(doc_id) AS BIGINT) AS first_doc, count(*) AS n_docs, count(*) = 1 AS usable FROM n GROUP BY number")
 def document_numbers(spark, sf):
     number = F.concat((F.col("doc_id") % 50).cast("string"), F.lit("/2020/qh"), (F.col("doc_id") % 7).cast("string"))
