@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from ranklake.functions import text as X
 
 MATCH, MISMATCH, GAP = 2, -1, -1
-MOST = 50_000
 SPAN = "struct<span string, score double>"
 
 # --- fixed values: markers of quoted and amended law --------------------------------------------------------------------
@@ -41,22 +40,42 @@ def matrix(a: list[str], b: list[str]) -> np.ndarray:
     return h
 
 
-def align(answer: str | None, unit: str | None, most: int = MOST) -> tuple[str, float]:
+def best_cell(a: list[str], b: list[str]) -> tuple[int, int, int]:
+    """The largest score of ``matrix`` and the first cell by rows that has it; one row of scores is held at a time."""
+    code: dict[str, int] = {}
+    x = [code.setdefault(t, len(code)) for t in a]
+    y = np.array([code.setdefault(t, len(code)) for t in b])
+    steps = np.arange(len(y) + 1)
+    above, best, at = np.zeros(len(y) + 1, np.int64), 0, (0, 0)
+    for i, t in enumerate(x, 1):
+        row = np.zeros(len(y) + 1, np.int64)
+        row[1:] = np.maximum(0, np.maximum(above[:-1] + np.where(y == t, MATCH, MISMATCH), above[1:] + GAP))
+        above = np.maximum.accumulate(row - GAP * steps) + GAP * steps
+        j = int(above.argmax())
+        if above[j] > best:
+            best, at = int(above[j]), (i, j)
+    return best, *at
+
+
+def align(answer: str | None, unit: str | None) -> tuple[str, float]:
     """The span of the unit that the answer's words align to best, and its score out of a perfect one.
 
-    The first largest cell by rows is the end; the way back prefers diagonal, then up, then left.
+    The first largest cell by rows is the end; the way back prefers diagonal, then up, then left. An alignment of i words
+    with a positive score has fewer than 2i gaps, so the way back stays within 3i words of the unit: scores of all cells are
+    held for these only.
     """
-    text = unicodedata.normalize("NFC", unit or "")[:most]
+    text = unicodedata.normalize("NFC", unit or "")
     a = unicodedata.normalize("NFC", answer or "").split()
     words = [(m[0], m.start(), m.end()) for m in re.finditer(r"\S+", text)]
     if not a or not words:
         return "", 0.0
     b = [w for w, _, _ in words]
-    h = matrix(a, b)
-    best = int(h.max())
+    best, i, j = best_cell(a, b)
     if not best:
         return "", 0.0
-    i, j = divmod(int(h.argmax()), h.shape[1])
+    at = max(0, j - 3 * i)
+    b, words, j = b[at:j], words[at:j], j - at
+    h = matrix(a[:i], b)
     end = j
     while i and j and h[i, j]:
         here = h[i, j]

@@ -215,6 +215,31 @@ def test_alignment(spark):
     assert one(spark, align.quote_core(F.col("t")), t="Điều 1 như sau: abc def. Theo đó, x") == "abc def."
 
 
+def test_alignment_reaches_the_end_of_a_long_text():
+    text = "filler " * 20_000 + "alpha beta x gamma delta " + "filler " * 100
+    assert align.align("alpha beta gamma delta", text) == ("alpha beta x gamma delta", 7 / 8)
+
+
+def test_windowed_alignment_is_the_full_one():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = (rng.choices("abcd", k=rng.randint(1, n)) for n in (12, 60))
+        h = align.matrix(a, b)
+        i, j = divmod(int(h.argmax()), h.shape[1])
+        assert align.best_cell(a, b) == ((int(h.max()), i, j) if h.max() else (0, 0, 0))
+        best, end = int(h.max()), j
+        while i and j and h[i, j]:
+            if h[i, j] == h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+                i, j = i - 1, j - 1
+            elif h[i, j] == h[i - 1, j] - 1:
+                i -= 1
+            else:
+                j -= 1
+        assert align.align(" ".join(a), " ".join(b)) == ((" ".join(b[j:end]), min(1.0, best / (2 * len(a)))) if best else ("", 0.0))
+
+
 def test_scores():
     assert scoring.meteor("a b c".split(), "a b c".split()) == pytest.approx(1 - 0.5 / 27)
     assert scoring.meteor(["a"], ["b"]) == 0.0
