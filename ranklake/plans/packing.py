@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions import text as X
 from ranklake.operators import align, lookup, pack, parse
+from ranklake.plans import registry
 from ranklake.plans.registry import query
 from ranklake.plans.retrieval import RUNS_SQL, two_runs
 from ranklake.plans.tables import LEGAL_SQL, documents, gold, legal, questions, toks
@@ -133,8 +134,8 @@ def qa_packages(spark, sf):
 
 @query("align_spans")
 def align_spans(spark, sf):
-    """Weak labels: of the three best documents of each passage the one it aligns to best. Alignment isn't SQL."""
-    rows = candidates(spark, sf, 3).withColumn("part_no", F.lit(0)).withColumn("part", align.quote_core(F.col("question")))
+    """Weak labels: of the 20 best documents of each passage the one it aligns to best. Alignment isn't SQL."""
+    rows = candidates(spark, sf, 20).withColumn("part_no", F.lit(0)).withColumn("part", align.quote_core(F.col("question")))
     return align.best_alignment(rows).select("qid", "doc_id", F.round("confidence", 6).alias("confidence"), "trusted", F.md5("span").alias("span"))
 
 
@@ -143,6 +144,15 @@ def string_pairs(spark, sf):
     return align.string_pairs(candidates(spark, sf), answer="question").select("qid", "doc_id", F.round("f1", 6).alias("f1"))
 
 
+STRING_PAIRS_20_SQL = registry._ORACLES["string_pairs"].replace("rank <= 10)", "rank <= 20)")
+
+
+@query("string_pairs_20", STRING_PAIRS_20_SQL)
+def string_pairs_20(spark, sf):
+    """``string_pairs`` over all 20 ranks of the run."""
+    return align.string_pairs(candidates(spark, sf, 20), answer="question").select("qid", "doc_id", F.round("f1", 6).alias("f1"))
+
+
 @query(
     "hard_negatives",
     f"""WITH {LEGAL_SQL}, u AS (SELECT *, doc_id || ':' || lpad(CAST(article_pos AS VARCHAR), 6, '0') || ':' || lpad(CAST(clause_pos AS VARCHAR), 6, '0') AS row_id, {toks("lower(text)")} AS w FROM lu),
