@@ -130,10 +130,10 @@ def linked(found: DataFrame, threshold: float, n_pivots: int, nearest: int, shar
         for b in batches:
             sizes = b["embedding"].map(len)
             for d, part in b.groupby(sizes):
-                if d not in pivots.value:
-                    continue
-                x = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-                near = describe(x, pivots.value[d], nearest)
+                if d in pivots.value:
+                    near = describe(np.stack(part["embedding"].to_numpy()).astype(np.float64), pivots.value[d], nearest)
+                else:  # a rare length without a pivot: one list, in which all meet
+                    near = np.zeros((len(part), 1), np.int64)
                 kept = np.sort(near, axis=1)[:, : max(1, min(lists, near.shape[1]))]
                 at = np.repeat(np.arange(len(part)), kept.shape[1])
                 out = part.iloc[at].copy()

@@ -81,6 +81,14 @@ def test_pivots_find_what_brute_force_finds(spark):
     assert pivot_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_length_without_a_pivot_keeps_its_links(spark):
+    rng = np.random.RandomState(3)
+    rows = [(0, rng.normal(size=8).tolist()) for _ in range(200)] + [(0, [1.0, 2.0, 3.0]), (0, [1.0, 2.0, 3.001])]
+    found = pivot_dedup.classes(spark.createDataFrame(rows, "label int, embedding array<double>")).select("*", *pivot_dedup.key())
+    assert 3 not in pivot_dedup.choose_pivots(found, 1)
+    assert [r["n"] for r in pivot_dedup.linked(found, 0.98, 1, 10, 3).collect()] == [1, 1]
+
+
 def test_blocks_of_a_large_list(spark, monkeypatch):
     """Lists longer than a block give the same links as one block."""
     v = np.random.RandomState(1).normal(size=8)
