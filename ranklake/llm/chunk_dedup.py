@@ -4,7 +4,7 @@ A gear hash rolls over the bytes of a text: h = (h << 1) + gear[byte] in 16 bits
 chunk ends where the top bits of h are zero, at the least size or later, or at the greatest size; boundaries follow content,
 so an insertion moves only the chunks it touches. Chunks are grouped by a 96-bit digest; the first occurrence of each, by
 doc_id and then position, stays. Later occurrences are repeats; runs of adjacent repeats of at least ``least_run`` characters
-are removed, shorter ones are chance and stay.
+are removed, and those that are a whole text; other shorter ones are chance and stay.
 
 The hash is the same for all windows, so it is computed for all positions at once by doubling: the sum over 2k bytes is the
 sum over the last k plus the sum over the k before, shifted by k.
@@ -136,7 +136,7 @@ def remove_repeats(docs: DataFrame, bits: int = 5, least: int = 24, most: int =
     ends = F.filter("__chunks", lambda x, i: ~F.coalesce(F.get("__chunks", i + 1)["start"] == x["end"], F.lit(False)))
     runs = F.zip_with(begins, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    long_runs = F.coalesce(F.filter(runs, lambda r: r["end"] - r["start"] >= least_run), none)
+    long_runs = F.coalesce(F.filter(runs, lambda r: (r["end"] - r["start"] >= least_run) | ((r["start"] == 0) & (r["end"] == F.length("text")))), none)
     marked = both.withColumn("removed", long_runs).withColumn("n_repeats", F.coalesce(F.size("__chunks"), F.lit(0)))
     kept = F.transform(
         F.sequence(F.lit(0), F.size("removed")),

@@ -515,6 +515,11 @@ def test_chunks(spark):
     assert len(cuts(a) & cuts(b)) >= 0.6 * len(cuts(a))
 
 
+def test_short_repeated_documents_go(spark):
+    df = docs(spark, (1, "a short notice that many pages hold"), (2, "a short notice that many pages hold"), (3, "another one"))
+    assert {r["doc_id"]: r["text"] for r in chunk_dedup.remove_repeats(df).collect()} == {1: "a short notice that many pages hold", 2: "", 3: "another one"}
+
+
 # --- queries and pipeline ---
 
 
