@@ -80,9 +80,8 @@ def chunk_ends(raw: bytes, bits: int, least: int, most: int) -> list[int]:
 
 
 def text_mark() -> Column:
-    """Tells texts of one doc_id apart. Ids seldom repeat, so twenty bits are enough and compress; a null id has all bits."""
-    h = F.xxhash64(text_or_empty())
-    return F.when(F.col("doc_id").isNull(), h).otherwise(F.pmod(h, F.lit(1 << 20)))
+    """Tells texts of one doc_id apart, however many share it."""
+    return F.xxhash64(text_or_empty())
 
 
 def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:

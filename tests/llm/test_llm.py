@@ -520,6 +520,11 @@ def test_short_repeated_documents_go(spark):
     assert {r["doc_id"]: r["text"] for r in chunk_dedup.remove_repeats(df).collect()} == {1: "a short notice that many pages hold", 2: "", 3: "another one"}
 
 
+def test_marks_tell_many_texts_of_one_id_apart(spark):
+    df = spark.range(5000).select(F.lit(1).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert df.select(chunk_dedup.text_mark()).distinct().count() == 5000
+
+
 # --- queries and pipeline ---
 
 
