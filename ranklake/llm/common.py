@@ -20,13 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows in one Arrow batch: with texts of 20,000 words a batch then stays near 100 MB.
-ARROW_ROWS = 512
+#: Bounds of the Arrow batches that Python workers get: rows, and bytes where long texts stand together.
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once an application, and bound the Arrow batches that Python workers get."""
+    """Give the executors this package, once an application, and bound the session's Arrow batches by rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
@@ -43,9 +44,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not found and sc.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="ranklake-checkpoint-")
         sc.setCheckpointDir(found)
@@ -89,6 +92,17 @@ def tokenizer_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores after it as it takes to differ from all columns of ``df`` in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
