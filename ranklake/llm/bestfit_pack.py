@@ -4,11 +4,13 @@ Documents longer than a sequence are cut into full pieces and a rest. Pieces are
 is made from their histogram, whose size doesn't depend on the data: pieces above a third of the capacity pair at most twice
 a sequence (each takes the largest partner that fits, the largest first), smaller ones fill the remaining gaps, the longest
 first, each in the tightest gap. The plan is a list of slots: pieces of one length with ranks from a to b go to sequences
-from s on, at a fixed offset. Pieces get their rank within their length from salted counts, so no length is gathered in one
-task, and find their slot by binary search.
+from s on, at a fixed offset. Pieces of one length are dealt by a hash to as many groups as their number asks for and get
+their rank from the sizes of the groups before theirs, so no length is gathered in one task; they find their slot by binary
+search.
 
-Defined results: a null text counts as empty and is the end token alone; repeated rows are packed like any others; a null
-doc_id stays null; an empty table gives an empty result; other columns are dropped.
+Defined results: a null text counts as empty and is the end token alone; a very long text is encoded whole and cut into
+pieces; repeated rows are packed like any others, ties of length in an order by id; a null doc_id stays null and ids of any
+size keep their value; an empty table gives an empty result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,9 +32,11 @@ from tokenizers import Tokenizer
 
 from ranklake.llm.common import materialize, ship, text_or_empty
 
-#: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept.
-WORDS, PLAIN, LONGEST = 1_000_000, 1_500_000, 48
-SALTS = 64
+#: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept. A word
+#: enters its table when it is met again, which a bit of its hash among SEEN tells, so words that occur once take no room.
+WORDS, PLAIN, LONGEST, SEEN = 500_000, 300_000, 48, 1 << 23
+#: Pieces of one length are ranked in groups: of this many rows at least, and no more groups than that over all lengths.
+GROUP_ROWS, GROUPS = 4096, 65_536
 #: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -52,9 +56,24 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self._ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the tables of words, so that an idle worker holds none."""
         self._known: dict[str, bytes] = {"": b""}  # words as they stand in the text
         self._plain: dict[str, bytes] = {}  # lower-case words of letters
         self._marks: dict[str, bytes] = {"": b""}  # groups of marks
+        self._seen = bytearray(SEEN)
+
+    def _again(self, fresh: dict[str, bytes], salt: int) -> dict[str, bytes]:
+        """Those of the words that were met before; the others are marked."""
+        seen, mask, out = self._seen, SEEN - 1, {}
+        for w, ids in fresh.items():
+            at = (hash(w) ^ salt) & mask
+            if seen[at] and len(w) <= LONGEST:
+                out[w] = ids
+            seen[at] = 1
+        return out
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -100,19 +119,15 @@ class WordTokens:
             else:
                 fresh[w] = self._one(w)
         learnt = self._learn(list({x for _, x, _ in parted if x not in plain}))
-        plain.update(learnt)
         for w, x, mark in parted:
-            fresh[w] = plain[x] + mark
-        known.update(fresh)
+            ids = plain.get(x)
+            fresh[w] = (learnt[x] if ids is None else ids) + mark
+        plain.update(self._again(learnt, 1))
+        known.update(self._again(fresh, 0))
         for words, got in zip(split, found, strict=True):
             if None in got:
                 got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
             yield np.frombuffer(b"".join(got), "<u4")
-        if any(len(w) > LONGEST for w in fresh):
-            for w in [w for w in fresh if len(w) > LONGEST]:
-                known.pop(w, None)
-            for w in [w for w in learnt if len(w) > LONGEST]:
-                plain.pop(w, None)
 
 
 _TOKENS: dict[str, WordTokens] = {}
@@ -126,25 +141,35 @@ def word_tokens(model: str) -> WordTokens:
 
 
 def pieces(docs: DataFrame, model_path: str, capacity: int, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, salt): each document's tokens and the end id, cut at ``capacity``."""
+    """(doc_id, piece, start, length, ids_crc32, mark): each document's tokens and the end id, cut at ``capacity``; mark is a
+    hash of the piece."""
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(Path(model_path).read_text(encoding="utf-8"))  # of the vocabulary's size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = word_tokens(model.value), np.array([end_id], "<u4")
-        for b in batches:
-            rows = []
-            for doc, body in zip(b["doc_id"], t.encode(list(b["text"])), strict=True):
-                ids = np.concatenate([body, end])
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    crc = zlib.crc32(part.tobytes())
-                    rows.append((doc, k, at, len(part), crc, zlib.crc32(f"{doc} {k}".encode(), crc) % SALTS))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
-
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInPandas(
-        run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, salt int"
+        try:
+            for b in batches:
+                row, rows = [], []
+                for i, body in enumerate(t.encode(b.column("text").to_pylist())):
+                    ids = np.concatenate([body, end])
+                    for k, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        crc = zlib.crc32(part.tobytes())
+                        row.append(i)
+                        rows.append((k, at, len(part), crc))
+                k, at, n, crc = np.array(rows, np.int64).reshape(-1, 4).T
+                index = pa.array(row, pa.int32())
+                mark = (b.column("mark").take(index).to_numpy(zero_copy_only=False) ^ crc ^ k * 0x9E3779B1) & 0x7FFFFFFF
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").take(index), pa.array(k.astype(np.int32)), pa.array(at), pa.array(n), pa.array(crc), pa.array(mark)], names=["doc_id", "piece", "start", "length", "ids_crc32", "mark"]
+                )
+        finally:
+            t.forget()
+
+    return docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64("doc_id").alias("mark")).mapInArrow(
+        run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in (("piece", T.IntegerType()), *((c, T.LongType()) for c in ("start", "length", "ids_crc32", "mark"))))])
     )
 
 
@@ -228,35 +253,34 @@ def pack(docs: DataFrame, model_path: str, capacity: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
     spark = docs.sparkSession
     cut, _ = materialize(pieces(docs, model_path, capacity), "pieces")
-    counts = cut.groupBy("length", "salt").count()
-    by_salt: dict[int, dict[int, int]] = {}
-    for r in counts.collect():  # at most capacity x SALTS numbers
-        by_salt.setdefault(r["length"], {})[r["salt"]] = r["count"]
-    slots = plan({n: sum(c.values()) for n, c in by_salt.items()}, capacity)
-    before = {}
-    for n, c in by_salt.items():
-        at = 0
-        for s in sorted(c):
-            before[n, s] = at
-            at += c[s]
-    ordered = sorted(slots)
+    lengths = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` numbers
+    rows = max(GROUP_ROWS, sum(lengths.values()) // GROUPS)
+    groups = spark.createDataFrame([(n, -(-c // rows)) for n, c in lengths.items()], "length long, groups long")
+    dealt = cut.join(F.broadcast(groups), "length").withColumn("salt", F.pmod("mark", "groups")).drop("mark", "groups")
+    before = np.zeros(capacity + 2, np.int64)  # first number of each length's groups
+    for n, c in lengths.items():
+        before[n + 1] = -(-c // rows)
+    before = np.cumsum(before)
+    sizes = np.zeros(int(before[-1]), np.int64)
+    for r in dealt.groupBy("length", "salt").count().collect():  # at most ``capacity`` + GROUPS numbers
+        sizes[before[r["length"]] + r["salt"]] = r["count"]
+    starts = np.cumsum(sizes) - sizes
+    starts -= np.repeat(np.append(starts, 0)[before[:-1]], np.diff(before))  # ranks begin anew with each length
+    ordered = sorted(plan(lengths, capacity))
     columns = {n: np.array([s[k] for s in ordered], dtype=np.int64) for k, n in enumerate(("length", "rank", "count", "sequence", "offset"))}
     key = columns["length"] << 44 | columns["rank"]  # ranks stay under 2**44
-    starts = np.zeros((capacity + 1, SALTS), dtype=np.int64)
-    for (n, s), at in before.items():
-        starts[n, s] = at
-    known = spark.sparkContext.broadcast((key, columns, starts))
+    known = spark.sparkContext.broadcast((key, columns, before, starts))  # bounded as the counts are; slots by pairs of lengths
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, c, starts = known.value
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, c, before, starts = known.value
         for b in batches:
-            n = b["length"].to_numpy()
-            rank = b["nth"].to_numpy() - 1 + starts[n, b["salt"].to_numpy()]
+            n, salt, nth = (b.column(x).to_numpy() for x in ("length", "salt", "nth"))
+            rank = nth - 1 + starts[before[n] + salt]
             at = np.searchsorted(key, n << 44 | rank, side="right") - 1
-            b["sequence_id"], b["offset"] = c["sequence"][at] + rank - c["rank"][at], c["offset"][at]
-            yield b.drop(columns=["nth", "salt"])
+            place = pa.array(c["sequence"][at] + rank - c["rank"][at]), pa.array(c["offset"][at])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), *place], names=[*kept, "sequence_id", "offset"])
 
     nth = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")).cast("long")
-    kept = [f for f in cut.schema if f.name != "salt"]
-    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return cut.withColumn("nth", nth).mapInPandas(place, schema)
+    kept = [f for f in cut.columns if f != "mark"]
+    schema = T.StructType([*(cut.schema[f] for f in kept), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return dealt.withColumn("nth", nth).mapInArrow(place, schema)
