@@ -1,27 +1,33 @@
 """Secret scans through a trigram inverted index, in DataFrame and SQL functions only.
 
-From each rule's regular expression a Boolean trigram query is derived: literals that every match must hold become
-conjunctions of their lower-cased trigrams, alternatives become disjunctions. Texts are indexed by the trigrams that occur
-in some query (postings: trigram, document); postings are intersected by document, documents that satisfy a query are
-candidates of its rule, and only candidates are verified with the regular expression. Rules without a mandatory trigram
-scan every text.
+From each rule's regular expression a Boolean trigram query is derived: the strings that every match must hold become
+conjunctions of their lower-cased trigrams, alternatives become disjunctions. One pass over the texts emits the trigrams that
+some query asks for; these postings (trigram, text) are written sorted by trigram. Each conjunction is intersected from its
+rarest trigram: only texts in that list are looked up in the others. Texts that satisfy a query are candidates of its rule,
+and only candidates are verified with the regular expression. Rules without a mandatory trigram, and expressions that the
+reader doesn't know for sure, scan every text.
 
 Spans are in code points, ends exclusive. They come from the pieces between matches: the start of a match is the length of
 all pieces and matches before it, so no position is searched twice.
 
-Defined results: a null text counts as empty; an empty text or table has no spans; rows are scanned one by one, so repeated
-rows give repeated results; a null doc_id keeps its row; other columns are kept by ``redact`` and dropped by ``scan``.
+Defined results: a null text counts as empty; an empty text or table has no spans; a very long text is scanned whole; rows are
+scanned one by one, so repeated rows give repeated results; a null doc_id keeps its row; other columns, whatever their names,
+are kept by ``scan`` and ``redact``.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass
+from itertools import product
+from re import _constants as K
+from re import _parser as reader
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import materialize, text_or_empty
+from ranklake.llm.common import materialize, text_or_empty, unused
 
 
 @dataclass(frozen=True)
@@ -47,145 +53,282 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]{12,}"),  # maximal runs, so the same as dropping shorter matches
     Rule("hex", "[0-9a-f]{32,}"),
 )
-#: Further kinds: private key headers, and tokens with a fixed prefix.
+#: Further kinds: fixed values, the public formats of keys and tokens.
 MORE = (
     Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("prefixed", "(ghp|gho|ghs|xoxb|xoxp|glpat|AIza)[_-][A-Za-z0-9_-]{16,}"),
+    Rule("github_fine", "github_pat_[A-Za-z0-9_]{22,}"),
+    Rule("github_user", "gh[ru]_[A-Za-z0-9]{36,}"),
+    Rule("slack_app", "xapp-[0-9]-[A-Z0-9]+-[0-9]+-[a-z0-9]+"),
+    Rule("slack_other", "xox[ares]-[A-Za-z0-9-]{10,}"),
+    Rule("slack_hook", "hooks\\.slack\\.com/services/[A-Za-z0-9/]{20,}"),
+    Rule("stripe", "[rs]k_(live|test)_[A-Za-z0-9]{16,}"),
+    Rule("google_key", "AIza[A-Za-z0-9_-]{35}"),
+    Rule("google_access", "ya29\\.[A-Za-z0-9_-]{20,}"),
+    Rule("google_client", "[0-9]+-[0-9a-z]{32}\\.apps\\.googleusercontent\\.com"),
+    Rule("aws_session", "ASIA[A-Z0-9]{16}"),
+    Rule("aws_market", "amzn\\.mws\\.[0-9a-f-]{36}"),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]{10,}\\.eyJ[A-Za-z0-9_-]{10,}\\.[A-Za-z0-9_-]{10,}"),
+    Rule("sendgrid", "SG\\.[A-Za-z0-9_-]{22}\\.[A-Za-z0-9_-]{43}"),
+    Rule("mailgun", "key-[0-9a-f]{32}"),
+    Rule("mailchimp", "[0-9a-f]{32}-us[0-9]{1,2}"),
+    Rule("npm", "npm_[A-Za-z0-9]{36}"),
+    Rule("pypi", "pypi-AgE[A-Za-z0-9_-]{50,}"),
+    Rule("digitalocean", "do[opr]_v1_[0-9a-f]{64}"),
+    Rule("heroku", "HRKU-[A-Za-z0-9_-]{36,}"),
+    Rule("shopify", "shp(at|ca|pa|ss)_[0-9a-fA-F]{32}"),
+    Rule("square", "sq0(atp|csp)-[A-Za-z0-9_-]{22,}"),
+    Rule("telegram", "[0-9]{8,10}:AA[A-Za-z0-9_-]{33}"),
+    Rule("discord_hook", "discord(app)?\\.com/api/webhooks/[0-9]+/[A-Za-z0-9_-]+"),
+    Rule("azure_storage", "AccountKey=[A-Za-z0-9+/=]{60,}"),
+    Rule("database_url", "(postgres|postgresql|mysql|mongodb|redis|amqp)://[^\\x20\\x09-\\x0D:@/]+:[^\\x20\\x09-\\x0D@/]+@[A-Za-z0-9.-]+"),
+    Rule("web_login", "https?://[^\\x20\\x09-\\x0D:@/]+:[^\\x20\\x09-\\x0D@/]+@[A-Za-z0-9.-]+"),
+    Rule("bearer", "[Bb]earer [A-Za-z0-9._~+/=-]{20,}"),
+    Rule("hub_token", "hf_[A-Za-z0-9]{34}"),
+    Rule("model_key", "sk-[A-Za-z0-9_-]{20,}"),
+    Rule("vault", "hvs\\.[A-Za-z0-9_-]{24,}"),
+    Rule("databricks", "dapi[0-9a-f]{32}"),
+    Rule("grafana_cloud", "glc_[A-Za-z0-9+/=]{32,}"),
+    Rule("grafana_service", "glsa_[A-Za-z0-9]{32}_[0-9a-fA-F]{8}"),
+    Rule("linear", "lin_api_[A-Za-z0-9]{40}"),
+    Rule("newrelic", "NRAK-[A-Z0-9]{27}"),
+    Rule("planetscale", "pscale_(tkn|pw)_[A-Za-z0-9_.-]{32,}"),
+    Rule("age", "AGE-SECRET-KEY-1[A-Z0-9]{58}"),
+    Rule("putty", "PuTTY-User-Key-File-[23]"),
+    Rule("doppler", "dp\\.pt\\.[A-Za-z0-9]{40,}"),
+    Rule("postman", "PMAK-[0-9a-f]{24}-[0-9a-f]{34}"),
+    Rule("dynatrace", "dt0c01\\.[A-Z0-9]{24}\\.[A-Z0-9]{64}"),
+    Rule("sentry", "sntrys_[A-Za-z0-9+/=_]{20,}"),
+    Rule("notion", "ntn_[A-Za-z0-9]{40,}"),
+    Rule("atlassian", "ATATT3[A-Za-z0-9_=-]{50,}"),
 )
 
+#: Strings kept of a part of an expression, characters told apart in a class, and conjunctions of a query.
+STRINGS, MEMBERS, CONJUNCTIONS = 64, 4, 64
+#: Flags that leave the meaning of literals alone, but for their case.
+KNOWN_FLAGS = re.IGNORECASE | re.MULTILINE | re.DOTALL
+
+Query = list[frozenset[str]]  # a disjunction of conjunctions; an empty conjunction is always true
+ALWAYS: Query = [frozenset()]
+
 
 def mandatory(pattern: str) -> list[list[str]]:
     """Disjunction of conjunctions of lower-cased trigrams that each match of ``pattern`` holds; [] if there are none.
 
-    Handles concatenation, groups with alternatives, classes and the quantifiers ? * + {n,}: a class stands for a letter
-    if its members are one letter in either case, optional parts end the literal before them.
+    The expression is read by Python's reader. What it doesn't accept, warns of, or may mean otherwise in the engine that
+    verifies (unknown escapes, set operations within classes, other flags) has no query.
     """
-    runs = _literals(pattern)  # for each alternative, the literals that it must hold
-    grams = [sorted({w[i : i + 3] for w in words for i in range(len(w) - 2)}) for words in runs]
-    return grams if all(grams) else []
-
-
-def _literals(pattern: str) -> list[set[str]]:
-    done: list[tuple[set[str], str]] = [(set(), "")]  # (literals so far, the literal that still grows)
-    at = 0
-
-    def close(x: list[tuple[set[str], str]]) -> list[tuple[set[str], str]]:
-        return [(words | ({run} if len(run) > 2 else set()), "") for words, run in x]
-
-    while at < len(pattern):
-        c = pattern[at]
-        inner: list[str] | None = None
-        letter: str | None = None
-        if c == "(":
-            depth, end = 1, at + 1
-            while depth:
-                depth += {"(": 1, ")": -1}.get(pattern[end], 0)
-                end += 1
-            inner, at = _split(pattern[at + 1 : end - 1]), end
-        elif c == "[":
-            end = pattern.index("]", at + 2) + 1
-            members = pattern[at + 1 : end - 1]
-            letter = members.lower()[0] if len(members) == 2 and members[0].lower() == members[1].lower() else None
-            at = end
-        elif c == "\\":
-            size = 4 if pattern[at + 1] == "x" else 2
-            letter, at = None, at + size
-        else:
-            letter, at = c.lower(), at + 1
-        quantifier = re.match(r"[?*+]|\{\d+,?\d*\}", pattern[at:])
-        q = quantifier[0] if quantifier else ""
-        at += len(q)
-        if q in ("?", "*"):
-            done = close(done)
-        elif inner is not None and not q:
-            done = [(words | w2, run + r2) for words, run in done for alt in inner for w2, r2 in _tail(alt)]
-        elif letter is not None and not q:
-            done = [(words, run + letter) for words, run in done]
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            if "&&" in pattern:
+                return []
+            tree = reader.parse(pattern)
+            if tree.state.flags & ~(KNOWN_FLAGS | re.UNICODE):
+                return []
+            query = _closed(*_read(tree))
+    except (re.error, Warning, NotImplementedError, OverflowError, RecursionError):
+        return []
+    return sorted(sorted(c) for c in query) if all(query) else []
+
+
+def _grams(strings: set[str]) -> Query:
+    return _least([frozenset(w[i : i + 3] for i in range(len(w) - 2)) for w in strings])
+
+
+def _least(query: Query) -> Query:
+    """Without conjunctions that another one implies."""
+    kept = set(query)
+    return [c for c in kept if not any(d < c for d in kept)]
+
+
+def _both(a: Query, b: Query) -> Query:
+    if len(a) * len(b) > CONJUNCTIONS:  # either alone is still mandatory
+        return min(a, b, key=lambda q: (not all(q), len(q)))
+    return _least([x | y for x, y in product(a, b)])
+
+
+def _closed(strings: set[str] | None, query: Query) -> Query:
+    return query if strings is None else _both(query, _grams(strings))
+
+
+def _read(tree: reader.SubPattern) -> tuple[set[str] | None, Query]:
+    """All strings that the part can match, lower-cased, if they are few (else None), and a query that its matches satisfy."""
+    grown: set[str] = {""}  # what may stand at the end of the part read so far, since it was last cut
+    query, whole = ALWAYS, True
+    for op, arg in tree:
+        if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT) and 1 <= arg[0] < arg[1]:
+            # The first repetition stands after what was read, the last before what follows; between them anything may be.
+            strings, more = _read(arg[2])
+            if strings is not None:
+                more = _both(more, _grams({a + b for a, b in product(grown, strings)} if len(strings) * len(grown) <= STRINGS else strings))
+            query, whole = _both(_both(query, _grams(grown)), more), False
+            grown = {""} if strings is None else strings
+            continue
+        strings, more = _one(op, arg)
+        query = _both(query, more)
+        if strings is not None and len(strings) * len(grown) <= STRINGS:
+            grown = {a + b for a, b in product(grown, strings)}
         else:
-            done = close(done)
-    return [words for words, _ in close(done)]
-
-
-def _split(inner: str) -> list[str]:
-    return inner.split("|")
-
-
-def _tail(alternative: str) -> list[tuple[set[str], str]]:
-    """A plain alternative as one growing literal; with quantifiers or groups inside, only its closed literals."""
-    plain = re.fullmatch(r"(?:\[(\w)(\w)\]|[^\[\]()?*+{}\\])*", alternative)
-    if plain:
-        return [(set(), re.sub(r"\[(\w)\w\]", r"\1", alternative).lower())]
-    return [(words, "") for words in _literals(alternative)]
-
-
-def spans_of(text: Column, rule: Rule, place: int) -> Column:
-    """array<struct<start, place, kind, end>> of the rule's matches that are long enough."""
-    pattern = F.lit(rule.pattern)
-    pieces = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x))
+            query, whole = _both(query, _grams(grown)), False
+            grown = {""} if strings is None else strings
+    return (grown, query) if whole else (None, _both(query, _grams(grown)))
+
+
+def _one(op: object, arg: object) -> tuple[set[str] | None, Query]:
+    anything: tuple[set[str] | None, Query] = (None, ALWAYS)
+    if op is K.LITERAL:
+        return ({chr(arg).lower()}, ALWAYS) if arg < 128 else anything
+    if op is K.IN:
+        members = set()
+        for kind, value in arg:
+            if kind is K.LITERAL:
+                members.add(value)
+            elif kind is K.RANGE and value[1] - value[0] < 2 * MEMBERS:
+                members |= set(range(value[0], value[1] + 1))
+            else:
+                return anything
+        chars = {chr(m).lower() for m in members if m < 128}
+        return (chars, ALWAYS) if all(m < 128 for m in members) and len(chars) <= MEMBERS else anything
+    if op in (K.ANY, K.NOT_LITERAL, K.GROUPREF):
+        return anything
+    if op in (K.AT, K.ASSERT, K.ASSERT_NOT):  # of no length
+        return {""}, ALWAYS
+    if op is K.SUBPATTERN:
+        _, added, removed, inner = arg
+        if (added | removed) & ~KNOWN_FLAGS:
+            raise NotImplementedError("flags")
+        return _read(inner)
+    if op is K.ATOMIC_GROUP:
+        return _read(arg)
+    if op is K.BRANCH:
+        parts = [_read(x) for x in arg[1]]
+        if all(s is not None for s, _ in parts) and sum(len(s) for s, _ in parts) <= STRINGS:
+            return set().union(*(s for s, _ in parts)), ALWAYS
+        either = _least([c for part in parts for c in _closed(*part)])
+        return None, either if len(either) <= CONJUNCTIONS else ALWAYS
+    if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
+        low, high, inner = arg
+        strings, query = _read(inner)
+        if low == 0:
+            return ({*strings, ""}, ALWAYS) if high == 1 and strings is not None and query == ALWAYS and len(strings) < STRINGS else anything
+        if strings is None:
+            return None, query
+        repeated = {""}
+        for _ in range(min(low, 3)):
+            if len(repeated) * len(strings) > STRINGS:
+                return None, _closed(strings, query)
+            repeated = {a + b for a, b in product(repeated, strings)}
+        return (repeated, query) if low == high <= 3 else (None, _closed(repeated, query))
+    raise NotImplementedError(str(op))
+
+
+#: Candidates, each a key of 16 bytes and a few rule numbers, that are sent to all tasks at most.
+BROADCAST = 400_000
+#: Letters from the most to the least frequent in running text, after the space; all else is rarer.
+FREQUENT = " etaoinshrdlcumwfgypbvkjxqz"
+
+
+def looked_up(conjunction: list[str], most: int) -> list[str]:
+    """The ``most`` trigrams of the rarest characters. Fewer trigrams make more candidates but lose none, and keep the index
+    small: common ones would be posted for nearly every text."""
+    rarity = lambda g: -sum(FREQUENT.index(c) if c in FREQUENT else 40 for c in g)
+    return sorted(sorted(conjunction, key=lambda g: (rarity(g), g))[:most])
+
+
+def spans_by(text: Column, pattern: Column, group: Column, least: Column, place: Column, kind: Column) -> Column:
+    """array<struct<start, place, kind, end>> of the matches of ``pattern`` whose ``group`` has at least ``least`` characters."""
+    pieces = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     matches = F.transform(F.regexp_extract_all(text, pattern, F.lit(0)), lambda x: F.length(x))
-    sizes = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda x: F.length(x)) if rule.group else matches
+    sizes = F.transform(F.regexp_extract_all(text, pattern, group), lambda x: F.length(x))
     empty = F.array().cast("array<struct<start:int,end:int,size:int>>")
     walked = F.aggregate(
         F.arrays_zip(pieces.alias("p"), matches.alias("m"), sizes.alias("g")),
         F.struct(F.lit(0).alias("at"), empty.alias("found")),
         lambda acc, x: F.struct(
             (acc["at"] + x["p"] + F.coalesce(x["m"], F.lit(0))).alias("at"),
-            F.when(x["g"] >= rule.least, F.array_append(acc["found"], F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"), x["g"].alias("size"))))
+            F.when(x["g"] >= least, F.array_append(acc["found"], F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end"), x["g"].alias("size"))))
             .otherwise(acc["found"])
             .alias("found"),
         ),
         lambda acc: acc["found"],
     )
-    found = F.transform(walked, lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), s["end"].alias("end")))
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
+    found = F.transform(walked, lambda s: F.struct(s["start"].alias("start"), place.alias("place"), kind.alias("kind"), s["end"].alias("end")))
+    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(SPANS))
+
+
+def spans_of(text: Column, rule: Rule, place: int) -> Column:
+    """``spans_by`` of one rule."""
+    return spans_by(text, *map(F.lit, (rule.pattern, rule.group, rule.least, place, rule.kind)))
+
+
+def spans_of_some(text: Column, numbers: Column, rules: tuple[Rule, ...]) -> Column:
+    """Spans of the rules of these numbers, with one expression however many rules there are."""
+    of = lambda name: F.array(*[F.lit(getattr(r, name)) for r in rules])
+    return F.flatten(F.transform(numbers, lambda i: spans_by(text, *(F.get(of(n), i) for n in ("pattern", "group", "least")), i, F.get(of("kind"), i))))
 
 
 SPANS = "array<struct<start:int,place:int,kind:string,end:int>>"
 
 
-def trigram_index(keyed: DataFrame, grams: list[str]) -> DataFrame:
-    """(key, held): postings (trigram, key) of the asked trigrams, gathered by key; bit i of held stands for grams[i]."""
-    if len(grams) > 63:
-        raise ValueError("more than 63 trigrams: split the rules")
-    low = F.lower(F.col("text"))
-    present = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(i)) for i, g in enumerate(grams)]))
-    postings = keyed.select("key", F.explode(present).alias("gram"))
-    return postings.groupBy("key").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("gram"))).alias("held"))
+def postings(keyed: DataFrame, grams: list[str]) -> DataFrame:
+    """(gram, key): the trigrams of each text of ``keyed`` (key, text) that are asked for, from one pass over it."""
+    low = keyed.select("key", F.lower("text").alias("low"))
+    present = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams]))
+    return low.select("key", F.explode(present).alias("gram")).select("gram", "key")
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """docs with a column ``spans`` (array of struct<start, place, kind, end>, ordered) for every row.
+def candidates(index: DataFrame, asked: dict[int, list[list[str]]]) -> tuple[DataFrame, list[str]]:
+    """(key, rules) of texts that satisfy the queries ``asked`` (by rule), and the rarest trigram of each conjunction.
 
-    The index is written once. Of each conjunction the trigram with the fewest documents is its anchor; rows that hold no
-    anchor can't be candidates and are never shuffled, the others meet the candidates by a key of their text.
+    Equal texts have one key, so a trigram may come to it more than once. Only counts by trigram reach the driver, and only
+    the queries are broadcast: both are as many as the rules ask for.
     """
-    asked = {i: q for i, r in enumerate(rules) if (q := mandatory(r.pattern))}
-    grams = sorted({g for q in asked.values() for conjunction in q for g in conjunction})
-    bit = {g: 1 << i for i, g in enumerate(grams)}
+    spark = index.sparkSession
+    held = {r["gram"]: r["n"] for r in index.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).collect()}
+    conjunctions = [(rule, c, min(c, key=lambda g: (held.get(g, 0), g))) for rule, q in asked.items() for c in q]
+    rare = sorted({g for _, _, g in conjunctions})
+    query = F.broadcast(spark.createDataFrame([(k, rule, len(c), g) for k, (rule, c, _) in enumerate(conjunctions) for g in c], "conjunction int, rule int, n int, gram string"))
+    near = index.where(F.col("gram").isin(rare)).select("key").distinct()
+    met = index.join(near, "key", "left_semi").join(query, "gram").groupBy("key", "conjunction", "rule", "n").agg(F.collect_set("gram").alias("met")).where(F.size("met") == F.col("n"))
+    return met.groupBy("key").agg(F.collect_set("rule").alias("rules")), rare
+
+
+def spans_column(docs: DataFrame) -> str:
+    """What ``scan`` calls its column: spans, with underscores after it where docs has that."""
+    return unused(docs, "spans")[0]
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, most: int = 2) -> DataFrame:
+    """docs with a column by ``spans_column`` (array of struct<start, place, kind, end>, ordered) for every row.
+
+    The index is written once. Rows meet the candidates by a key of their text, so equal texts are candidates alike and rows
+    need no id. Up to ``BROADCAST`` candidates go to the rows. If there are more, rows that hold no conjunction's rarest
+    trigram can't be candidates and stay where they are; only the others are shuffled. ``most`` trigrams of a conjunction are
+    looked up.
+    """
+    asked = {i: [looked_up(c, most) for c in q] for i, r in enumerate(rules) if (q := mandatory(r.pattern))}
+    spans, (key, named) = spans_column(docs), unused(docs, "_key", "_rules")
     text = text_or_empty()
-    # Equal texts are equally candidates, and rows without an id need no other key.
-    keyed = docs.withColumn("__key", F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")))
-    index, _ = materialize(trigram_index(keyed.select(F.col("__key").alias("key"), text.alias("text")), grams), "trigrams")
-    frequency = index.select(*[F.count_if(F.col("held").bitwiseAND(F.lit(b)) != 0).alias(g) for g, b in bit.items()]).first()
-    anchors = sorted({min(conjunction, key=lambda g: (frequency[g], g)) for q in asked.values() for conjunction in q})
-    mask = F.lit(0)
-    for i, q in asked.items():
-        holds = F.lit(False)
-        for conjunction in q:
-            want = sum(bit[g] for g in conjunction)
-            holds |= F.col("held").bitwiseAND(F.lit(want)) == F.lit(want)
-        mask = mask + F.when(holds, 1 << i).otherwise(0)
-    found = index.select(F.col("key").alias("__key"), mask.alias("__rules")).where("__rules <> 0")
+    none = F.array().cast(SPANS)
+    rest = F.concat(none, *[spans_of(text, r, i) for i, r in enumerate(rules) if i not in asked])
+    if not asked:
+        return docs.withColumn(spans, F.array_sort(rest))
+    hashes = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
+    grams = sorted({g for q in asked.values() for c in q for g in c})
+    index, _ = materialize(postings(docs.select(hashes.alias("key"), text.alias("text")), grams).sortWithinPartitions("gram"), "trigrams")
+    met, rare = candidates(index, asked)
+    found, _ = materialize(met.select(F.col("key").alias(key), F.col("rules").alias(named)), "candidates")
+    every = F.array_sort(F.when(F.col(named).isNull(), rest).otherwise(F.concat(rest, spans_of_some(text, F.col(named), rules))))
+    if found.count() <= BROADCAST:
+        return docs.withColumn(key, hashes).join(F.broadcast(found), key, "left").withColumn(spans, every).drop(key, named)
     low = F.lower(text)
     anchored = F.lit(False)
-    for g in anchors:
+    for g in rare:
         anchored |= F.contains(low, F.lit(g))
-    none = F.array().cast(SPANS)
-    rest = [none if i in asked else spans_of(text, r, i) for i, r in enumerate(rules)]
-    every = [F.when(F.col("__rules").bitwiseAND(F.lit(1 << i)) != 0, spans_of(text, r, i)).otherwise(none) if i in asked else rest[i] for i, r in enumerate(rules)]
-    far = keyed.where(~anchored).withColumn("spans", F.array_sort(F.concat(*rest)))
-    near = keyed.where(anchored).join(found, "__key", "left").withColumn("spans", F.array_sort(F.concat(*every))).drop("__rules")
-    return far.unionByName(near).drop("__key")
+    far = docs.where(~anchored).withColumn(spans, F.array_sort(rest))
+    near = docs.where(anchored).withColumn(key, hashes).join(found, key, "left").withColumn(spans, every).drop(key, named)
+    return far.unionByName(near)
 
 
 def written(spans: Column) -> Column:
@@ -202,7 +345,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with every span of every rule replaced by ``mask``; overlapping spans are replaced once, all columns stay."""
-    found = scan(docs)
+    found, spans = scan(docs), spans_column(docs)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -211,5 +354,5 @@ def redact(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
         kept = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(until.alias("at"), F.when(fresh, F.concat(acc["out"], kept, F.lit(mask))).otherwise(acc["out"]).alias("out"))
 
-    cleaned = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return found.withColumn("text", F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text"))).select(*docs.columns)
+    cleaned = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return found.withColumn("text", F.when(F.size(spans) > 0, cleaned).otherwise(F.col("text"))).select(*docs.columns)
