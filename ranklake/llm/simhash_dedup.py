@@ -3,12 +3,13 @@
 A fingerprint has 64 bits. The bits are grouped into a few parts, correlated bits together; with thresholds t_i per part
 that sum to radius - parts + 1, two fingerprints within ``radius`` bits agree within t_i bits in at least one part i. The
 thresholds are unequal in general: dynamic programming gives each part the threshold for which the estimated number of
-probes and candidates is least, from bit statistics over all fingerprints. Each fingerprint is stored once a part and
+probes and candidates is least, from bit statistics and counted keys of all fingerprints. Each fingerprint is stored once a part and
 probes its part's ball; the join keeps pairs that differ in ``radius`` bits or fewer, so no false candidate leaves it.
 
-Defined results: a null text counts as empty; empty texts have fingerprint zero and link like any other; rows with equal
-text share a fingerprint and a component; a null doc_id is ignored when the smallest id of a component is taken; an empty
-table gives an empty result; other columns of the input are dropped by ``near_duplicates`` and kept by ``deduplicate``.
+Defined results: a null text counts as empty; empty texts have fingerprint zero and link like any other; a very long text is
+read whole; rows with equal text share a fingerprint and a component; a null doc_id is ignored when the smallest id of a
+component is taken; an empty table gives an empty result; other columns of the input are dropped by ``near_duplicates`` and
+kept, whatever their names, by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import connected_components, materialize, ship, text_or_empty
+from ranklake.llm.common import connected_components, materialize, remove, ship, text_or_empty, unused
 
 BITS = 64
 #: What one candidate costs, in probes: a comparison inside the join against a row that is made, shuffled and sorted.
@@ -90,27 +91,41 @@ def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
     return groups
 
 
-def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int) -> tuple[float, list[int]]:
-    """The least estimated cost, and thresholds that sum to radius - parts + 1 (-1: the part isn't probed)."""
+def key_collisions(fps: DataFrame, groupings: list[list[list[int]]]) -> list[list[float]]:
+    """For each group of bits of each grouping the number of pairs of fingerprints that agree in it, counted over all rows."""
+    keys = [F.struct(F.lit(g).cast("short").alias("g"), F.lit(i).cast("short").alias("i"), _part(bits).alias("key")) for g, groups in enumerate(groupings) for i, bits in enumerate(groups)]
+    counts = fps.select(F.explode(F.array(*keys)).alias("k")).groupBy("k.g", "k.i", "k.key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = counts.groupBy("g", "i").agg(F.sum(F.col("n").cast("double") * (F.col("n") - 1) / 2).alias("pairs")).collect()  # a number a group
+    found = {(r["g"], r["i"]): r["pairs"] for r in pairs}
+    return [[found.get((g, i), 0.0) for i in range(len(groups))] for g, groups in enumerate(groupings)]
+
+
+def allocate(n: int, both: np.ndarray, groups: list[list[int]], radius: int, agree: list[float]) -> tuple[float, list[int]]:
+    """The least estimated cost, and thresholds that sum to radius - parts + 1 (-1: the part isn't probed).
+
+    ``agree`` are counted pairs that agree in each group; for those within a few bits of it they are multiplied by how much
+    likelier that is for bits of the measured frequencies.
+    """
     p = both.diagonal() / max(n, 1)
     differ = 2 * p * (1 - p)
 
-    def cost(group: list[int], t: int) -> float:
+    def cost(group: list[int], t: int, equal: float) -> float:
         if t < 0:
             return 0.0
         dist = np.zeros(t + 1)  # of the number of differing bits of two random fingerprints, cut at t
         dist[0] = 1
         for b in group:
             dist = dist * (1 - differ[b]) + np.concatenate([[0], dist[:-1]]) * differ[b]
-        probes = n * sum(comb(len(group), e) for e in range(min(t, len(group)) + 1))
-        return probes + CANDIDATE_COST * n * (n - 1) / 2 * float(dist.sum())
+        probes = max(n, 1) * sum(comb(len(group), e) for e in range(min(t, len(group)) + 1))
+        random = n * (n - 1) / 2 * float(dist.sum())
+        return probes + CANDIDATE_COST * max(random, equal * float(dist.sum() / dist[0]) if dist[0] else 0.0)
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-    for g in groups:
+    for g, equal in zip(groups, agree, strict=True):
         following: dict[int, tuple[float, list[int]]] = {}
         for used, (c, ts) in best.items():
             for t in range(-1, radius + 1):
-                new = (c + cost(g, t), [*ts, t])
+                new = (c + cost(g, t, equal), [*ts, t])
                 if used + t + 1 not in following or new < following[used + t + 1]:
                     following[used + t + 1] = new
         best = following
@@ -130,10 +145,17 @@ def partition(fps: DataFrame, radius: int, parts: tuple[int, ...]) -> tuple[list
     """Groups of bits and their thresholds; of the numbers of parts given that with the least estimated cost."""
     n, both = bit_statistics(fps)
     groupings = [group_bits(n, both, m) for m in parts]
-    (_, thresholds), groups = min(((allocate(n, both, g, radius), g) for g in groupings), key=lambda x: x[0][0])
+    counted = key_collisions(fps, groupings)
+    (_, thresholds), groups = min(((allocate(n, both, g, radius, c), g) for g, c in zip(groupings, counted, strict=True)), key=lambda x: x[0][0])
     return groups, thresholds
 
 
+def spread(fps: DataFrame) -> DataFrame:
+    """Fingerprints dealt to as many tasks as a shuffle has, before each makes many rows."""
+    spark = fps.sparkSession
+    return fps.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def _part(bits: list[int]) -> Column:
     return F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in bits))))
 
@@ -183,7 +205,8 @@ def star_links(fps: DataFrame, radius: int, groups: list[list[int]], thresholds:
     Each key's fingerprints have ``centres`` centres, those with the smallest hashes; probes meet these alone.
     """
     stored, probes = _stored_and_probes(fps.select("fp"), groups, thresholds)
-    chosen = stored.groupBy("part", "key").agg(F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", F.lit(s))) for s in range(centres)])).alias("c"))
+    found = stored.groupBy("part", "key").agg(F.array_distinct(F.array(*[F.min_by("fp", F.xxhash64("fp", F.lit(s))) for s in range(centres)])).alias("c"))
+    chosen, _ = materialize(found, "centres")  # so that the join reads two plain shuffles, whose large partitions can be split
     fp = F.col("fp")
     linked = probes["fp"]
     near = (chosen["part"] == probes["part"]) & (chosen["key"] == probes["key"]) & F.exists("c", lambda c: (c != linked) & (_differ(c, linked) <= radius))
@@ -191,15 +214,30 @@ def star_links(fps: DataFrame, radius: int, groups: list[list[int]], thresholds:
     return met.select(F.least("fp", "c").alias("src"), F.greatest("fp", "c").alias("dst")).distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = (2,)) -> DataFrame:
-    """(doc_id, fingerprint, component_id, kept): components of fingerprints linked within ``radius`` bits."""
+#: Numbers of parts that are weighed against each other.
+PARTS = (2, 3, 4, 5, 6)
+
+
+def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, parts: tuple[int, ...] = PARTS) -> DataFrame:
+    """(doc_id, fingerprint, component_id, kept): components of fingerprints linked within ``radius`` bits.
+
+    Links come in two turns, as in ``components``: a few for each fingerprint, with centres of the keys that it probes; then all
+    those between fingerprints that are still in different components. So a group's pairs aren't all emitted.
+    """
     ship(docs.sparkSession)
     with_fp, _ = materialize(docs.select("doc_id", fingerprint_column(text_or_empty(), words).alias("fp")), "simhash")
-    classes = with_fp.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    fps = classes.select("fp")
-    found, _ = connected_components(links(fps, radius, *partition(fps, radius, parts)))
+    classes, _ = materialize(with_fp.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    fps = spread(classes.select("fp"))
+    groups, thresholds = partition(fps, radius, parts)
+    first, p_first = materialize(star_links(fps, radius, groups, thresholds), "links")
+    so_far, gone = connected_components(first)
+    grouped = classes.join(so_far.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
+    second, p_second = materialize(links(spread(grouped), radius, groups, thresholds), "links")
+    found, _ = connected_components(first.unionByName(second))
+    for path in (p_first, p_second, *gone):
+        remove(docs.sparkSession, path)
     member = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
-    ids = member.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids, _ = materialize(member.groupBy("component").agg(F.min("first").alias("component_id")), "ids")
     of_fp = member.join(ids, "component").select("fp", "component_id")
     return with_fp.join(of_fp, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")
@@ -241,7 +279,8 @@ def _banded(rows: DataFrame) -> DataFrame:
 def band_star_links(classes: DataFrame) -> DataFrame:
     """(a, b): each class of ``classes`` (cls, keys) with one centre of each of its band keys."""
     rows = _banded(classes.select("cls", "keys"))
-    chosen = rows.groupBy("band", "key").agg(F.min_by("cls", F.xxhash64("cls", "band")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    found = rows.groupBy("band", "key").agg(F.min_by("cls", F.xxhash64("cls", "band")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    chosen, _ = materialize(found, "centres")
     met = rows.join(chosen, ["band", "key"]).where("cls <> c")
     return met.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
 
@@ -249,13 +288,14 @@ def band_star_links(classes: DataFrame) -> DataFrame:
 def band_links(classes: DataFrame) -> DataFrame:
     """(a, b): all pairs of ``classes`` (cls, keys, group) of different groups that share a band key."""
     rows = _banded(classes.select("cls", "keys", "group"))
-    mixed = rows.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("band", "key")
+    found = rows.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("band", "key")
+    mixed, _ = materialize(found, "mixed")
     left, _ = materialize(rows.join(mixed, ["band", "key"]), "bands")
     x, y = (left.select("band", "key", F.col("cls").alias(c), F.col("group").alias(g)) for c, g in (("a", "ga"), ("b", "gb")))
     return x.join(y, ["band", "key"]).where("a < b and ga <> gb").select("a", "b").distinct()
 
 
-def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = (2, 3, 4), similarity: float = 0.8, shingle: int = 5) -> DataFrame:
+def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = PARTS, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
     """(doc_id, th, component): texts linked by a Jaccard similarity of their sets of ``shingle``-word shingles of at least
     ``similarity``.
 
@@ -293,22 +333,25 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
     def verified(found: DataFrame, banded: DataFrame) -> DataFrame:
         """Pairs of classes (src, dst) whose sets are similar, of those of linked fingerprints and those given as (a, b)."""
         pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
-        pairs, _ = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(banded).distinct(), "pairs")
+        pairs, p_pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(banded).distinct(), "pairs")
         asked = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls").select("cls", "th")
         source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
-        held, _ = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
+        held, p_held = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
         x, y = held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), held.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
         shared = F.size(F.array_intersect("sa", "sb"))
         alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-        return pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        out, _ = materialize(pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        remove(spark, p_pairs)
+        remove(spark, p_held)
+        return out
 
-    first, _ = materialize(verified(star_links(fps.select("fp"), radius, groups, thresholds).unionByName(same), band_star_links(classes)), "links")
+    first = verified(star_links(spread(fps.select("fp")), radius, groups, thresholds).unionByName(same), band_star_links(classes))
     so_far, _ = connected_components(first)
     # A fingerprint of several classes has no group of its own, so none of its candidates is left out.
     label = F.when(F.col("n") == 1, F.coalesce("component", "cls")["k1"])
     grouped = fps.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("fp", label.alias("group"))
     of_class = classes.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "keys", F.coalesce("component", "cls")["k1"].alias("group"))
-    second, _ = materialize(verified(links(grouped, radius, groups, thresholds), band_links(of_class)), "links")
+    second = verified(links(spread(grouped), radius, groups, thresholds), band_links(of_class))
     labels, _ = connected_components(first.unionByName(second))
     out = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
     return out.select("doc_id", "th", F.coalesce("component", "cls").alias("component"))
@@ -320,8 +363,9 @@ def deduplicate(docs: DataFrame, **how: object) -> DataFrame:
     A null doc_id comes last; of rows equal in doc_id and text one stays.
     """
     labelled, _ = materialize(components(docs, **how), "components")
+    id_, th, key = unused(docs, "_id", "_th", "_key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("th").alias("th"))
-    best = labelled.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias("__id"), F.col("m.th").alias("__th"))
-    keyed = docs.withColumn("__key", F.xxhash64(text_or_empty()))
-    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    best = labelled.groupBy("component").agg(F.min(order).alias("m")).select(F.col("m.doc_id").alias(id_), F.col("m.th").alias(th))
+    keyed = docs.withColumn(key, F.xxhash64(text_or_empty()))
+    kept = keyed.join(best, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(th)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key)
