@@ -1,34 +1,39 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled 1; all documents, with their labels unread, are the unlabelled web text. With a class
-prior p (by default the share of ones among the labels that may be learned from) the non-negative unbiased risk
+Trusted positives are documents labelled 1; the unlabelled web text is labelled documents with their labels unread, so no
+negative is ever used. With a class prior p, estimated from the scores of positives and unlabelled, the non-negative unbiased risk
 
     p E_P[l(g)] + max(0, E_U[l(-g)] - p E_P[l(-g)])
 
-is minimised for the sigmoid loss l(g) = 1 / (1 + exp(g)), which is bounded, so that far-off rows don't outweigh others; while its second part is below zero the step goes against that part alone. The model is
-additive: statistics of a text, each cut into bins at quantiles and at even distances, with one weight a bin, so it is small and can't memorise.
+is minimised for the sigmoid loss l(g) = 1 / (1 + exp(g)), which is bounded, so that far-off rows don't outweigh others; while
+its second part is below zero the step goes against that part alone. The model is additive: statistics of a text, among them
+how much its hashed n-grams of bytes and words occur in positives rather than in all, each cut into bins at quantiles and at
+even distances, with one weight a bin, so it is small and can't memorise.
 
-The model is fitted on the driver from the features of at most ``most`` positives and ``most`` unlabelled documents (those with
-the smallest hashes of their ids); all rows are then scored in one pass.
+The model is fitted on the driver from a sample of labelled rows: at most ``most`` positives and ``most`` unlabelled. All rows
+are then scored in one pass.
 
-Defined results: a null text counts as empty and gets a score like any other; a null doc_id is never labelled nor held out;
-labels other than 0 and 1 are ignored, of repeated labels the mean decides; without positives all scores are the prior, 0.5 if
-that is unknown; repeated rows get equal scores; an empty table gives an empty result; other columns are kept by ``keep`` and
-dropped by ``score``.
+Defined results: a null text counts as empty and gets a score like any other; a very long text is described whole; a null
+doc_id is never labelled nor held out; labels other than 0 and 1 are ignored, of repeated labels the mean decides, of repeated
+ids the text with the smallest hash is learned from; without positives all scores are the prior, 0.5 if that is unknown;
+repeated rows get equal scores; an empty table gives an empty result; other columns are kept by ``keep`` and dropped by
+``score``.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import ship, text_or_empty
+from ranklake.llm.common import materialize, remove, ship, text_or_empty
 
 
 def _classes() -> np.ndarray:
@@ -80,19 +85,60 @@ def features(text: str) -> list[float]:
     ]
 
 
-def feature_column(text: Column) -> Column:
-    @F.pandas_udf("array<float>")
-    def udf(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(features(t), np.float32) for t in texts])
+#: Kinds of hashed n-grams and the bits of their buckets: three bytes in lower case, a word, two words.
+GRAMS = (("bytes", 12), ("word", 15), ("words", 16))
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_MIX = [np.uint64(xxhash.xxh64_intdigest(b"mix", k) | 1) for k in range(4)]
+
+
+@lru_cache(8)
+def _powers(size: int, base: int) -> np.ndarray:
+    out = np.full(size, base, np.uint64)
+    out[0] = 1
+    with np.errstate(over="ignore"):
+        return np.cumprod(out, dtype=np.uint64)
+
+
+def buckets(text: str) -> list[np.ndarray]:
+    """The bucket of each n-gram of a text, by ``GRAMS``. Words are hashed from running sums over the bytes, all at once."""
+    raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+    space = np.concatenate([[True], raw <= 32, [True]])
+    starts, ends = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    if not len(starts):
+        return [np.zeros(0, np.int64) for _ in GRAMS]
+    size = max(1 << 12, 1 << len(raw).bit_length())
+    x = raw.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((x + np.uint64(1)) * _powers(size, _BASE)[: len(x)])])
+        word = (sums[ends] - sums[starts]) * _powers(size, _INVERSE)[starts] * _MIX[0]
+        three = (x[:-2] << np.uint64(16) | x[1:-1] << np.uint64(8) | x[2:]) * _MIX[1]
+        two = (word[:-1] ^ word[1:] * _MIX[2]) * _MIX[3]
+    return [(h >> np.uint64(64 - bits)).astype(np.int64) for h, (_, bits) in zip((three, word, two), GRAMS, strict=True)]
 
-    return udf(text)
+
+def ratios(counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For each kind the smoothed log ratio of a bucket's share in the positives and in all, from counts (2, buckets)."""
+    out = []
+    for c in counts:
+        total = c.sum(axis=1, keepdims=True)
+        share = (c + 4.0 * (total[1:] + 1) / c[1].size / (total[1:] + 1)) / (total + 4.0)
+        out.append(np.log(share[0] / share[1]).astype(np.float32))
+    return out
+
+
+def described(text: str, tables: list[np.ndarray]) -> list[float]:
+    """``features`` and, for each kind of n-grams, the mean log ratio of those in the text."""
+    return features(text) + [float(t[b].mean()) if len(b) else 0.0 for b, t in zip(buckets(text), tables, strict=True)]
 
 
 @dataclass
 class Model:
-    edges: list[np.ndarray]  # of each feature's bins
+    edges: list[np.ndarray]  # of each statistic's bins
     weights: np.ndarray
     bias: float
+    tables: list[np.ndarray]  # log ratios of the n-grams
+    prior: float
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         g = self.bias + self.weights[places(x, self.edges)].sum(axis=1)
@@ -105,7 +151,7 @@ def places(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([first[k] + np.searchsorted(e, x[:, k], side="right") for k, e in enumerate(edges)], axis=1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int = 24, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, tables: list[np.ndarray], bins: int = 24, steps: int = 600, rate: float = 0.05, decay: float = 1e-4) -> Model:
     """Minimises the non-negative risk by Adam over all rows given."""
     grid = np.linspace(0, 1, bins + 1)[1:-1]
     fine = np.concatenate([[0.002, 0.005, 0.01, 0.02], grid, [0.98, 0.99, 0.995, 0.998]])  # rare kinds sit at the ends
@@ -125,7 +171,24 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, bins: int =
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - float(move[-1])
-    return Model(edges, w, b)
+    return Model(edges, w, b, tables, prior)
+
+
+def risk(model: Model, positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The non-negative unbiased risk of the sigmoid loss."""
+    sp, su = model.scores(positive), model.scores(unlabelled)
+    return model.prior * float((1 - sp).mean()) + max(0.0, float(su.mean()) - model.prior * float(sp.mean()))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.25) -> float:
+    """The share of positives among the unlabelled, from scores of either that a model gave which hadn't seen them.
+
+    Above a threshold that no negative reaches, the share of the unlabelled is the prior times that of the positives; below
+    it the quotient is larger. So the least quotient over all thresholds that ``least`` of the positives reach is taken.
+    """
+    cut = np.quantile(positive, np.linspace(0, 1 - least, 31))
+    above = lambda s: 1 - np.searchsorted(np.sort(s), cut, side="left") / len(s)
+    return float(np.clip((above(unlabelled) / above(positive)).min(), 0.05, 0.99))
 
 
 def held_out() -> Column:
@@ -133,23 +196,83 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float | None = None) -> Model | float:
-    """The model from documents and labels; without positives the prior alone."""
+def sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(text, positive, unlabelled, half): labelled documents that may be learned from, one row for each id.
+
+    Of repeated ids the text with the smallest hash is taken. Positives are ``most`` of those labelled 1, the unlabelled ``most``
+    of all labelled ones with their labels unread, both by the hash of their ids.
+    """
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.avg("quality").alias("quality")).where(~held_out())
-    if prior is None:
-        found = known.agg(F.avg((F.col("quality") >= 0.5).cast("int")).alias("p")).first()["p"]
-        prior = 0.5 if found is None else float(np.clip(found, 0.01, 0.99))
-    free = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct()
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = [F.xxhash64("doc_id"), "doc_id"]
+    ids = known.where("quality >= 0.5").orderBy(*first).limit(most).select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u"))
+    ids = ids.union(known.orderBy(*first).limit(most).select("doc_id", F.lit(0), F.lit(1))).groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u"))
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")  # 2 x most ids at most
+    one = rows.groupBy("doc_id", "p", "u").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    half = (F.xxhash64(F.lit(3), "doc_id") % 2 != 0).cast("int")
+    return one.select("doc_id", "text", (F.col("p") == 1).alias("positive"), (F.col("u") == 1).alias("unlabelled"), half.alias("half"))
+
+
+def gram_counts(rows: DataFrame) -> np.ndarray:
+    """Counts (half, positive or unlabelled, bucket) of the n-grams of ``sample``, kinds one after the other."""
+    size = sum(1 << bits for _, bits in GRAMS)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((4, size), np.int64)
+        for b in batches:
+            for t, p, u, h in zip(b["text"], b["positive"], b["unlabelled"], b["half"], strict=True):
+                at, first = [], 0
+                for x, (_, bits) in zip(buckets(t), GRAMS, strict=True):
+                    at.append(x + first)
+                    first += 1 << bits
+                n = np.bincount(np.concatenate(at), minlength=size)
+                if p:
+                    total[2 * h] += n
+                if u:
+                    total[2 * h + 1] += n
+        place, bucket = np.nonzero(total)
+        yield pd.DataFrame({"at": place * size + bucket, "n": total[place, bucket]})
+
+    found = rows.select("text", "positive", "unlabelled", "half").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()  # 4 x size numbers
+    out = np.zeros(4 * size, np.int64)
+    out[found["at"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    return out.reshape(2, 2, size)
+
+
+def _by_kind(counts: np.ndarray) -> list[np.ndarray]:
+    return np.split(counts, np.cumsum([1 << bits for _, bits in GRAMS])[:-1], axis=1)
 
-    def sample(ids: DataFrame) -> np.ndarray:
-        chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # so a broadcast of ``most`` ids at most
-        rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id", "left_semi")
-        got = rows.select(feature_column(F.col("text")).alias("x")).limit(2 * most).collect()
-        return np.array([r["x"] for r in got], dtype=np.float64).reshape(-1, len(NAMES))
 
-    positive = sample(free.join(known.where("quality >= 0.5").select("doc_id"), "doc_id", "left_semi"))
-    unlabelled = sample(free)
-    return fit(positive, unlabelled, prior) if len(positive) and len(unlabelled) else prior
+def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float | None = None) -> Model | float:
+    """The model from documents and labels; without positives the prior alone.
+
+    n-gram ratios of one half of the sample describe the other half, so none describes what it was counted on; new texts are
+    described by the ratios of both. An unknown prior is estimated on each half from a model of the other.
+    """
+    rows, path = materialize(sample(docs, labels, most), "sample")
+    counts = gram_counts(rows)
+    other = [ratios(_by_kind(counts[1])), ratios(_by_kind(counts[0]))]
+
+    @F.pandas_udf("array<float>")
+    def describe(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        return pd.Series([np.array(described(t, other[h]), np.float32) for t, h in zip(texts, halves, strict=True)])
+
+    got = rows.select("doc_id", "positive", "unlabelled", "half", describe("text", "half").alias("x")).toPandas().sort_values("doc_id")  # 2 x most rows at most
+    remove(docs.sparkSession, path)
+    x = np.array(got["x"].tolist(), np.float64).reshape(-1, len(NAMES) + len(GRAMS))
+    p, u, half = (got[c].to_numpy() for c in ("positive", "unlabelled", "half"))
+    p, u = p.astype(bool), u.astype(bool)
+    if not p.any() or not u.any():
+        return 0.5 if prior is None else prior
+    if prior is None:
+        found = []
+        for h in (0, 1):
+            here, there = half == h, half != h
+            if min((p & here).sum(), (u & here).sum(), (p & there).sum(), (u & there).sum()):
+                m = fit(x[p & there], x[u & there], 0.5, [], steps=150)
+                found.append(estimated_prior(m.scores(x[p & here]), m.scores(x[u & here])))
+        prior = float(np.mean(found)) if found else 0.5
+    return fit(x[p], x[u], prior, ratios(_by_kind(counts.sum(axis=0))))
 
 
 def score(docs: DataFrame, labels: DataFrame, most: int = 20_000) -> DataFrame:
@@ -167,7 +290,7 @@ def scorer(model: Model | float) -> Callable[[Column], Column]:
     def udf(texts: pd.Series) -> pd.Series:
         if not isinstance(model, Model):
             return pd.Series(np.full(len(texts), model))
-        x = np.array([features(t) for t in texts], dtype=np.float32).reshape(-1, len(NAMES))
+        x = np.array([described(t, model.tables) for t in texts], dtype=np.float32).reshape(-1, len(NAMES) + len(GRAMS))
         return pd.Series(model.scores(x.astype(np.float64)))
 
     return udf
