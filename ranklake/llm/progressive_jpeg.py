@@ -1,17 +1,21 @@
 """Media columns of progressive JPEG: coefficients from all scans, RGB tensors at full resolution, and lossless payloads.
 
 ``decode`` reads a progressive JPEG file (8 bits, Huffman coded, one or three components, any sampling factors): each scan
-adds its spectral band and approximation bits to the coefficient arrays. Runs in which every symbol is the same, raw
-correction bits and end-of-band runs are read with numpy; anything else goes symbol by symbol. ``planes`` applies the
-inverse transform with whole numbers held in doubles, so results don't depend on batching, and ``rgb`` upsamples chroma.
+adds its spectral band and approximation bits to the coefficient arrays. Codes are looked up by the next 16 bits. In a first
+scan a symbol's length doesn't depend on the coefficients, so the length at every bit is looked up at once, a short loop
+follows the chain of symbols, and their values are cut out with numpy. Refinement scans depend on the coefficients and go
+symbol by symbol, but for the correction bits of end-of-band runs. ``planes`` applies the inverse transform with whole
+numbers held in doubles, so results don't depend on batching, and ``rgb`` upsamples chroma by repetition.
 
 ``encode`` stores a payload of bytes without loss: the format's unit is the quantised coefficient, so each byte is one
-coefficient of a 4:2:0 image with quantisers of one. A DC coefficient is the byte itself, sent as eight refinement scans
-after a first scan of zeros; an AC coefficient is the byte as JPEG extends eight magnitude bits, sent with its lowest bit in
-a refinement scan. A comment segment holds the number of payload bytes; blocks after them are padding.
-
-Defined results: a null text counts as empty; texts are padded with spaces to a positive multiple of 192 bytes; equal texts
-give equal values; repeated rows give repeated results; an empty table gives an empty result; other columns are dropped.
+coefficient of a 4:2:0 image with quantisers of one. A DC coefficient is the byte; an AC coefficient is the byte and two,
+bytes from 128 on the other way below zero, so none is zero even without its lowest bit. Both are sent as differences or
+magnitudes without their lowest bit, with a table of Huffman codes made from the file's own sizes, and then refined by one
+scan. A comment segment holds the number of payload bytes; blocks after them are padding.
+
+Defined results: a null text counts as empty; texts are padded with spaces to a positive multiple of 192 bytes; a very long
+text makes one large image; equal texts give equal values; repeated rows give repeated results; a null doc_id stays null and
+ids of any size keep their value; an empty table gives an empty result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -22,12 +26,14 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from ranklake.llm.common import ship, text_or_empty
+from ranklake.llm.common import ship, text_or_empty, unused
 
 UNIT = 192
 
@@ -68,49 +74,106 @@ class Image:
 
 
 class Huffman:
-    """Codes of one table: lookup of (length, symbol) by the next 16 bits."""
+    """Codes of one table, with lookups by the next 16 bits: length (0: no code), symbol, and how far the next symbol of a
+    first scan is (the code and the bits that follow it; FAR: no code)."""
 
     def __init__(self, counts: bytes, symbols: bytes):
         self.codes: dict[int, tuple[int, int]] = {}  # symbol: (code, length)
+        self.length, self.symbol = np.zeros(1 << 16, np.uint8), np.zeros(1 << 16, np.uint8)
+        self.step_ac, self.step_dc = np.full(1 << 16, FAR, np.uint8), np.full(1 << 16, FAR, np.uint8)
         code, at = 0, 0
-        self.first: list[tuple[int, int, int]] = []  # (length, first code, first symbol's index)
-        self.symbols = symbols
         for length, n in enumerate(counts, 1):
-            self.first.append((length, code, at))
-            for k in range(n):
-                self.codes.setdefault(symbols[at + k], (code + k, length))
-            code, at = (code + n) << 1, at + n
-        self.counts = counts
+            for x in symbols[at : at + n]:
+                self.codes.setdefault(x, (code, length))
+                these = slice(code << (16 - length), (code + 1) << (16 - length))
+                self.length[these], self.symbol[these] = length, x
+                self.step_ac[these] = length + (x >> 4 if x & 15 == 0 and x < 0xF0 else x & 15)
+                self.step_dc[these] = length + min(x, 16)
+                code += 1
+            code, at = code << 1, at + n
 
     def read(self, bits: Bits) -> int:
-        code = 0
-        for (length, first, at), n in zip(self.first, self.counts, strict=True):
-            code = code << 1 | bits.take(1)
-            if n and 0 <= code - first < n:
-                return self.symbols[at + code - first]
-        raise ValueError("no such code")
+        ahead = bits.ahead()
+        length = int(self.length[ahead])
+        if not length:
+            raise ValueError("no such code")
+        bits.at += length
+        return int(self.symbol[ahead])
+
+
+FAR = 255
+
+
+@lru_cache(64)
+def _huffman(counts: bytes, symbols: bytes) -> Huffman:
+    return Huffman(counts, symbols)
 
 
 class Bits:
     """The bits of one entropy-coded segment; past its end there are ones, as decoders assume."""
 
     def __init__(self, data: bytes):
-        self.bits = np.unpackbits(np.frombuffer(data, np.uint8))
+        self.size = 8 * len(data)
+        self.data = data + b"\xff" * 8
         self.at = 0
 
+    def ahead(self) -> int:
+        """The next 16 bits."""
+        i = self.at >> 3
+        return int.from_bytes(self.data[i : i + 3].ljust(3, b"\xff"), "big") >> (8 - (self.at & 7)) & 0xFFFF
+
     def take(self, n: int) -> int:
-        out = 0
-        for b in self.bits[self.at : self.at + n].tolist():
-            out = out << 1 | b
-        missing = max(0, self.at + n - len(self.bits))
+        """The next n bits, 16 at most."""
+        out = self.ahead() >> (16 - n) if n else 0
         self.at += n
-        return (out + 1 << missing) - 1 if missing else out
+        return out
+
+    def some(self, n: int) -> np.ndarray:
+        """The next n bits as an array."""
+        i = self.at >> 3
+        raw = np.frombuffer(self.data, np.uint8)[i : i + n // 8 + 2]
+        out = np.unpackbits(raw)[self.at & 7 : (self.at & 7) + n]
+        self.at += n
+        return out if len(out) == n else np.concatenate([out, np.ones(n - len(out), np.uint8)])
+
+    def symbols(self, table: Huffman, step: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """All symbols from here to the end, ``most`` at most, and the value of the bits after each; ``step`` is by 16 bits."""
+        d = np.frombuffer(self.data, np.uint8).astype(np.uint32)
+        n = self.size // 8
+        three = d[:n] << 16 | d[1 : n + 1] << 8 | d[2 : n + 2]
+        window = (three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)).astype(np.uint16).ravel()
+        steps = step[window].tobytes()
+        mark = bytearray(self.size)
+        at = self.at
+        try:
+            while True:
+                mark[at] = 1
+                at += steps[at]
+        except IndexError:
+            pass
+        at = np.flatnonzero(np.frombuffer(mark, np.uint8))[:most]
+        far = step[window[at]] == FAR
+        if far.any():  # padding at the end has no code; anything else is damaged
+            at = at[: int(far.argmax())]
+        w = window[at]
+        begin, symbol = at + table.length[w], table.symbol[w]
+        extra = (step[w] - table.length[w]).astype(np.uint32)
+        i = begin >> 3
+        four = d[i] << 24 | d[i + 1] << 16 | d[i + 2] << 8 | d[i + 3]
+        value = four >> (32 - extra - (begin & 7).astype(np.uint32)) & ((np.uint32(1) << extra) - 1)
+        return symbol, np.where(extra, value, 0).astype(np.int32)
 
 
 def _extend(value: int, size: int) -> int:
     return value if size == 0 or value >> (size - 1) else value - (1 << size) + 1
 
 
+def _extended(value: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``_extend`` of each."""
+    size = size.astype(np.int32)
+    return value - np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), (1 << size) - 1, 0)
+
+
 @lru_cache(512)
 def _alone(cols: int, used_rows: int, used_cols: int) -> np.ndarray:
     """(0, block) of a scan of one component."""
@@ -153,7 +216,7 @@ def decode(data: bytes) -> Image:
         elif marker == 0xC4:
             while body:
                 total = sum(body[1:17])
-                huffman[body[0]] = Huffman(body[1:17], body[17 : 17 + total])
+                huffman[body[0]] = _huffman(body[1:17], body[17 : 17 + total])
                 body = body[17 + total :]
         elif marker == 0xC2:
             image = _frame(body, quantisers)
@@ -240,14 +303,19 @@ def _by_component(chosen: list[Component], part: np.ndarray) -> Iterator[tuple[C
 
 
 def _refine_dc(chosen: list[Component], part: np.ndarray, bits: Bits, low: int) -> None:
-    raw = bits.bits[: len(part)].astype(np.int32) << low
+    raw = bits.some(len(part)).astype(np.int32) << low
     for c, blocks, at in _by_component(chosen, part):
         c.coefficients[blocks, 0] |= raw[at]
 
 
 def _first_dc(chosen: list[Component], part: np.ndarray, bits: Bits, low: int, tables: list[Huffman]) -> None:
-    codes = {t.codes.get(0) for t in tables}
-    if codes == {(0, 1)} and not bits.bits[: len(part)].any():  # every difference is zero, and so is every coefficient
+    if all(t is tables[0] for t in tables):
+        size, value = bits.symbols(tables[0], tables[0].step_dc, len(part))
+        if len(size) < len(part):
+            raise ValueError("a scan is too short")
+        moves = _extended(value, size)
+        for c, blocks, at in _by_component(chosen, part):
+            c.coefficients[blocks, 0] = np.cumsum(moves[at]) << low
         return
     before = [0] * len(chosen)
     for k, block in part.tolist():
@@ -258,41 +326,33 @@ def _first_dc(chosen: list[Component], part: np.ndarray, bits: Bits, low: int, t
 
 def _first_ac(co: np.ndarray, blocks: np.ndarray, bits: Bits, first: int, last: int, low: int, table: Huffman) -> None:
     width = last - first + 1
-    size = table.read(bits) if len(bits.bits) else 0
-    bits.at = 0
-    if 0 < size < 16:  # no zeros before it: perhaps all symbols of the scan are this one
-        code, length = table.codes[size]
-        period = length + size
-        total = len(blocks) * width * period
-        if total <= len(bits.bits):
-            each = bits.bits[:total].reshape(-1, period)
-            want = np.array([code >> (length - 1 - k) & 1 for k in range(length)], np.uint8)
-            if (each[:, :length] == want).all():
-                value = np.zeros(len(each), np.int32)
-                for k in range(length, period, 8):
-                    wide = min(8, period - k)
-                    value = value << wide | np.packbits(each[:, k : k + wide], axis=1)[:, 0] >> (8 - wide)
-                value[each[:, length] == 0] -= (1 << size) - 1
-                co[blocks, first : last + 1] = (value << low).reshape(-1, width)
-                return
-    run = 0
+    symbol, value = bits.symbols(table, table.step_ac, len(blocks) * width)
+    size = symbol & 15
+    if len(symbol) == len(blocks) * width and (symbol == size).all() and size.all():  # no zeros
+        co[blocks, first : last + 1] = (_extended(value, size) << low).reshape(-1, width)
+        return
+    values = (_extended(value, size) * (1 << low)).tolist()
+    raw, symbols, at, run = value.tolist(), symbol.tolist(), 0, 0
     for block in blocks.tolist():
         if run:
             run -= 1
             continue
         k = first
         while k <= last:
-            symbol = table.read(bits)
-            r, s = symbol >> 4, symbol & 15
+            if at == len(symbols):
+                raise ValueError("a scan is too short")
+            r, s = symbols[at] >> 4, symbols[at] & 15
             if s:
                 k += r
-                co[block, k] = _extend(bits.take(s), s) * (1 << low)
+                co[block, k] = values[at]
                 k += 1
             elif r == 15:
                 k += 16
             else:
-                run = (1 << r) + bits.take(r) - 1
+                run = (1 << r) + raw[at] - 1
+                at += 1
                 break
+            at += 1
 
 
 def _refine_ac(co: np.ndarray, blocks: np.ndarray, bits: Bits, first: int, last: int, low: int, table: Huffman) -> None:
@@ -304,10 +364,7 @@ def _refine_ac(co: np.ndarray, blocks: np.ndarray, bits: Bits, first: int, last:
         band_live = band != 0
         band_live[0, : begin - first] = False
         n = int(band_live.sum())
-        raw = np.zeros(n, np.int32)
-        got = bits.bits[bits.at : bits.at + n]
-        raw[: len(got)] = got
-        bits.at += n
+        raw = bits.some(n).astype(np.int32)
         values = band[band_live]
         band[band_live] = values + np.sign(values) * raw * one
         co[flat_blocks, first : last + 1] = band
@@ -386,9 +443,77 @@ def _entropy(bits: np.ndarray) -> bytes:
     return np.packbits(np.concatenate([bits, np.ones(pad, np.uint8)]) if pad else bits).tobytes().replace(b"\xff", b"\xff\x00")
 
 
-def _one_code(kind: int, symbol: int) -> bytes:
-    """A table with the only code 0 for one symbol."""
-    return _segment(0xC4, bytes([kind, 1, *[0] * 15, symbol]))
+def _codes(counts: dict[int, int]) -> tuple[bytes, dict[int, tuple[int, int]]]:
+    """A Huffman table made from the counts of symbols, and (code, length) of each; the code of ones alone isn't used."""
+    heap = [(n, [x]) for x, n in sorted(counts.items())]
+    length = dict.fromkeys([*counts, -1], 0)
+    heap = sorted([*((n, x[0], x) for n, x in heap), (0, -1, [-1])])
+    while len(heap) > 1:
+        (n, a, x), (m, b, y) = heappop(heap), heappop(heap)
+        for z in x + y:
+            length[z] += 1
+        heappush(heap, (n + m, min(a, b), x + y))
+    deepest = max(length.values())
+    order = sorted(counts, key=lambda x: (length[x], x))  # the unused code is one of the deepest, so it may come last
+    if deepest > 16:
+        raise ValueError("too many symbols")
+    sizes = [sum(length[x] == k for x in order) for k in range(1, 17)]
+    codes, code, at = {}, 0, 0
+    for k, n in enumerate(sizes, 1):
+        for x in order[at : at + n]:
+            codes[x] = (code, k)
+            code += 1
+        code, at = code << 1, at + n
+    return bytes([*sizes, *order]), codes
+
+
+def _packed(values: np.ndarray, lengths: np.ndarray, parts: list[int]) -> list[bytes]:
+    """Values of ``lengths`` bits (16 at most) as the entropy-coded segments of parts of so many values, padded with ones."""
+    ends = np.cumsum(lengths)
+    bounds = np.cumsum(parts)
+    filled = ends[bounds - 1]
+    filled[1:] -= filled[:-1].copy()
+    pads = -filled % 8
+    moved = np.repeat(np.cumsum(pads) - pads, parts)
+    start = ends - lengths + moved
+    shifted = values.astype(np.uint64) << (64 - (start & 31) - lengths).astype(np.uint64)
+    word = start >> 5
+    size = int(word[-1]) + 3
+    total = np.bincount(word, (shifted >> np.uint64(32)).astype(np.float64), size)
+    total[1:] += np.bincount(word, (shifted & np.uint64(0xFFFFFFFF)).astype(np.float64), size)[:-1]
+    raw = bytearray(total.astype(np.uint32).astype(">u4").tobytes())
+    out, at = [], 0
+    for n, pad in zip(filled.tolist(), pads.tolist(), strict=True):
+        to = at + (n + pad) // 8
+        if pad:
+            raw[to - 1] |= (1 << pad) - 1
+        out.append(bytes(raw[at:to]).replace(b"\xff", b"\xff\x00"))
+        at = to
+    return out
+
+
+def _signed_bytes() -> np.ndarray:
+    """The AC coefficient of each byte."""
+    b = np.arange(256)
+    return np.where(b < 128, b + 2, 126 - b).astype(np.int32)
+
+
+SIGNED = _signed_bytes()
+
+
+def _sizes(x: np.ndarray) -> np.ndarray:
+    """Bits of each magnitude."""
+    return np.frexp(np.abs(x).astype(np.float64))[1]
+
+
+def _tokens(codes: dict[int, tuple[int, int]], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits and their number of each value: the code of its size, then its magnitude as JPEG extends it."""
+    size = _sizes(values)
+    code, length = np.zeros(17, np.int64), np.zeros(17, np.int64)
+    for x, (c, n) in codes.items():
+        code[x], length[x] = c, n
+    low = np.where(values < 0, values + (1 << size) - 1, values)
+    return code[size] << size | low, length[size] + size
 
 
 LUMA_BANDS, CHROMA_BANDS = ((1, 5), (6, 63)), ((1, 63),)
@@ -404,8 +529,7 @@ def shape(payload_bytes: int) -> tuple[int, int]:
 def encode(payload: bytes) -> bytes:
     """A progressive JPEG file whose coefficients hold the payload."""
     rows, cols = shape(len(payload))
-    total = rows * cols * 384
-    data = np.full(total, 32, np.uint8)
+    data = np.full(rows * cols * 384, 32, np.uint8)
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
     data = data.reshape(-1, 64)
     n = rows * cols
@@ -413,35 +537,41 @@ def encode(payload: bytes) -> bytes:
     out = [b"\xff\xd8", _segment(0xFE, struct.pack(">Q", len(payload))), _segment(0xDB, bytes([0, *[1] * 64]))]
     out.append(_segment(0xC2, struct.pack(">BHHB", 8, rows * 16, cols * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])))
     all_dc = bytes([3, 1, 0, 2, 0, 3, 0])
-    out += [_one_code(0x00, 0), _segment(0xDA, all_dc + bytes([0, 0, 0x08])), _entropy(np.zeros(6 * n, np.uint8))]
     order = _interleaved(((2, 2, rows * 2, cols * 2), (1, 1, rows, cols), (1, 1, rows, cols)), rows, cols)
-    dc = data[:, 0][np.array([0, 4 * n, 5 * n])[order[:, 0]] + order[:, 1]]
-    for low in range(7, -1, -1):
-        out += [_segment(0xDA, all_dc + bytes([0, 0, (low + 1) << 4 | low])), _entropy(dc >> low & 1)]
+    dc = data[:, 0][np.array([0, 4 * n, 5 * n])[order[:, 0]] + order[:, 1]].astype(np.int32)
+    moves = np.empty(len(dc), np.int32)
+    for k in range(3):
+        at = np.flatnonzero(order[:, 0] == k)
+        moves[at] = np.diff(dc[at] >> 1, prepend=0)
+    table, codes = _codes({int(x): int(c) for x, c in zip(*np.unique(_sizes(moves), return_counts=True), strict=True)})
+    out += [_segment(0xC4, b"\x00" + table), _segment(0xDA, all_dc + bytes([0, 0, 0x01])), *_packed(*_tokens(codes, moves), [len(moves)])]
+    out += [_segment(0xDA, all_dc + bytes([0, 0, 0x10])), _entropy((dc & 1).astype(np.uint8))]
+
     scans = [(k + 1, part, band) for k, part in enumerate(parts) for band in (LUMA_BANDS if k == 0 else CHROMA_BANDS)]
-    out.append(_one_code(0x10, 7))  # a code bit of 0 and seven magnitude bits: a byte for each coefficient
-    for k, part, (a, b) in scans:
-        out += [_segment(0xDA, bytes([1, k, 0, a, b, 0x01])), (part[:, a : b + 1] >> 1).tobytes()]
-    known = -1
-    for k, part, (a, b) in scans:
-        lowest = (part[:, a : b + 1] ^ (part[:, a : b + 1] < 128)) & 1
-        stream = []
-        for at in range(0, len(part), 16384):  # each end-of-band run is 2**r blocks and a rest
-            run = min(16384, len(part) - at)
+    seen = np.bincount(data[:, 1:].ravel(), minlength=256)
+    halves = np.sign(SIGNED) * (np.abs(SIGNED) >> 1)
+    table, codes = _codes({int(x): int(c) for x in range(1, 8) if (c := seen[_sizes(halves) == x].sum())})
+    bits, length = _tokens(codes | {x: (0, 0) for x in range(8) if x not in codes}, halves)  # of each byte
+    bits, length = bits.astype(np.uint32), length.astype(np.int64)
+    flat = np.concatenate([part[:, a : b + 1].ravel() for _, part, (a, b) in scans])
+    coded = _packed(bits[flat], length[flat], [part.shape[0] * (b - a + 1) for _, part, (a, b) in scans])
+    out.append(_segment(0xC4, b"\x10" + table))
+    for (k, _, (a, b)), segment in zip(scans, coded, strict=True):
+        out += [_segment(0xDA, bytes([1, k, 0, a, b, 0x01])), segment]
+    runs = [[min(16384, len(part) - at) for at in range(0, len(part), 16384)] for _, part, _ in scans]  # each 2**r blocks and a rest
+    symbols = [run.bit_length() - 1 for of in runs for run in of]
+    table, codes = _codes({r << 4: symbols.count(r) for r in sorted(set(symbols))})
+    out.append(_segment(0xC4, b"\x10" + table))
+    lowest = (np.abs(SIGNED) & 1).astype(np.uint8)
+    for (k, part, (a, b)), of in zip(scans, runs, strict=True):
+        raw, stream, at = lowest[part[:, a : b + 1]], [], 0
+        for run in of:
             r = run.bit_length() - 1
-            stream.append((r, run, lowest[at : at + run]))
-        symbols = sorted({r for r, _, _ in stream})
-        if len(symbols) == 1:
-            if symbols[0] != known:
-                known = symbols[0]
-                out.append(_one_code(0x10, known << 4))
-            codes = {known: [0]}
-        else:
-            known = -1
-            out.append(_segment(0xC4, bytes([0x10, 1, 1, *[0] * 14, symbols[1] << 4, symbols[0] << 4])))
-            codes = {symbols[1]: [0], symbols[0]: [1, 0]}
-        bits = [np.concatenate([np.array([*codes[r], *[(run - (1 << r)) >> (r - 1 - i) & 1 for i in range(r)]], np.uint8), raw.ravel()]) for r, run, raw in stream]
-        out += [_segment(0xDA, bytes([1, k, 0, a, b, 0x10])), _entropy(bits[0] if len(bits) == 1 else np.concatenate(bits))]
+            code, size = codes[r << 4]
+            head = [*(code >> (size - 1 - i) & 1 for i in range(size)), *((run - (1 << r)) >> (r - 1 - i) & 1 for i in range(r))]
+            stream += [np.array(head, np.uint8), raw[at : at + run].ravel()]
+            at += run
+        out += [_segment(0xDA, bytes([1, k, 0, a, b, 0x10])), _entropy(np.concatenate(stream))]
     out.append(b"\xff\xd9")
     return b"".join(out)
 
@@ -449,8 +579,9 @@ def encode(payload: bytes) -> bytes:
 def payload_of(image: Image) -> bytes:
     """The bytes that ``encode`` stored, from the coefficients."""
     co = np.concatenate([c.coefficients for c in image.components])
-    data = (co + 255 * (co < 0)).astype(np.uint8)
-    return data.tobytes()[: struct.unpack(">Q", image.comment)[0]]
+    data = np.where(co > 0, co - 2, 126 - co)
+    data[:, 0] = co[:, 0]
+    return data.astype(np.uint8).tobytes()[: struct.unpack(">Q", image.comment)[0]]
 
 
 def padded(text: str) -> tuple[int, bytes]:
@@ -462,46 +593,55 @@ def media(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's padded bytes stored as a progressive JPEG file."""
     ship(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(n, encode(p)) for n, p in map(padded, b["text"])]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_bytes": [n for n, _ in rows], "media": [m for _, m in rows]})
+            rows = [(n, encode(p)) for n, p in map(padded, b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    fields = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())]
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields]))
 
 
 def tensors(files: DataFrame, column: str = "media") -> DataFrame:
-    """files with height, width and ``rgb``, the samples of the tensor (height, width, 3), row by row."""
+    """files with height, width and ``rgb``, the samples of the tensor (height, width, 3), row by row.
+
+    A null file has a null tensor. Where files has such a column, underscores follow the new one's name.
+    """
     ship(files.sparkSession)
+    names = unused(files, "height", "width", "rgb")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t = [None if m is None else rgb(decode(bytes(m))) for m in b[column]]
-            yield b.assign(height=[None if x is None else x.shape[0] for x in t], width=[None if x is None else x.shape[1] for x in t], rgb=[None if x is None else x.tobytes() for x in t])
+            t = [None if m is None else rgb(decode(m)) for m in b.column(column).to_pylist()]
+            new = [pa.array([None if x is None else x.shape[k] for x in t], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new, pa.array([None if x is None else x.tobytes() for x in t], pa.binary())], names=[*b.schema.names, *names])
 
-    kept = files.select(*[c for c in files.columns if c not in ("height", "width", "rgb")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInPandas(run, f"{schema}, height int, width int, rgb binary")
+    fields = [T.StructField(n, t) for n, t in zip(names, (T.IntegerType(), T.IntegerType(), T.BinaryType()), strict=True)]
+    return files.mapInArrow(run, T.StructType([*files.schema, *fields]))
 
 
 def digests(files: DataFrame) -> DataFrame:
-    """What is read back from ``media``: digests of the payload and the file, and features of the RGB tensor."""
+    """What is read back from ``media``: digests of the payload and the file, features of the RGB tensor, and the tensor.
+
+    The file is decoded once for the payload and the tensor; height, width and rgb are as in ``tensors``.
+    """
     ship(files.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, n, m in zip(b["doc_id"], b["n_bytes"], b["media"], strict=True):
-                m = bytes(m)
+            for m in b.column("media").to_pylist():
                 image = decode(m)
                 p, t = payload_of(image), rgb(image)
                 sums = t.reshape(-1, 3).sum(axis=0, dtype=np.int64).tolist()
                 feature = f"{image.width}x{image.height}:{sums[0]}:{sums[1]}:{sums[2]}:{zlib.crc32(t)}"
-                rows.append((doc, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return files.select("doc_id", "n_bytes", "media").mapInPandas(
-        run,
-        f"doc_id {files.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
-    )
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature, image.height, image.width, t.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, (_, _, t) in zip(columns, fields, strict=True))], names=["doc_id", "n_bytes", *(n for n, _, _ in fields)])
+
+    fields = [
+        ("payload_bytes", T.LongType(), pa.int64()), ("payload_sha256", T.StringType(), pa.string()), ("tail_crc32", T.LongType(), pa.int64()), ("media_bytes", T.LongType(), pa.int64()),
+        ("media_sha256", T.StringType(), pa.string()), ("feature", T.StringType(), pa.string()), ("height", T.IntegerType(), pa.int32()), ("width", T.IntegerType(), pa.int32()), ("rgb", T.BinaryType(), pa.binary()),
+    ]
+    schema = T.StructType([files.schema["doc_id"], files.schema["n_bytes"], *(T.StructField(n, t) for n, t, _ in fields)])
+    return files.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
