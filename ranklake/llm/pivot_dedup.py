@@ -30,6 +30,8 @@ from ranklake.llm.common import connected_components, materialize, ship
 
 #: Vectors in a block of an inverted list.
 BLOCK = 1024
+#: Bytes of pivots that are sent to each task at most.
+PIVOT_BYTES = 128 << 20
 #: Cosine from which a vector is no new pivot.
 TOO_CLOSE = 0.8
 
@@ -145,7 +147,8 @@ def linked(found: DataFrame, threshold: float, n_pivots: int, nearest: int, shar
     vector = found.schema["embedding"].dataType.simpleString()
     schema = f"label {label}, dim int, pivot int, k1 long, k2 long, copies long, embedding {vector}, near array<int>"
     postings, _ = materialize(found.select("label", "embedding", "k1", "k2", "copies").mapInPandas(post, schema), "postings")
-    blocks = postings.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    counted = postings.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks, _ = materialize(counted, "blocks")  # so that the join reads two plain shuffles, and a long list can be split
     of = ["label", "dim", "pivot"]
     dealt = postings.join(blocks, of).withColumn("block", F.pmod("k1", F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("a"), F.greatest(x, F.col("block")).alias("b")))
@@ -177,12 +180,15 @@ def linked(found: DataFrame, threshold: float, n_pivots: int, nearest: int, shar
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, n_pivots: int | None = None, nearest: int = 10, shared: int = 3) -> DataFrame:
     """(vec_id, n_links, component_id, kept, copies) for each row of ``vectors`` (vec_id, embedding, label).
 
-    ``n_pivots`` is twice the root of the number of classes by default, from 64 to 4,096.
+    ``n_pivots`` is twice the root of the number of classes by default, 64 at least, so lists grow as that root does; but no more
+    than PIVOT_BYTES hold, and from there on lists have more blocks.
     """
     ship(vectors.sparkSession)
     found, _ = materialize(classes(vectors).select("*", *key()), "classes")
     count = found.count()
-    links, _ = materialize(linked(found, threshold, n_pivots or min(4096, max(64, 2 * isqrt(count))), nearest, shared), "links")
+    longest = found.agg(F.max(F.size("embedding"))).first()[0] or 1
+    pivots = n_pivots or max(64, min(2 * isqrt(count), PIVOT_BYTES // (8 * longest)))
+    links, _ = materialize(linked(found, threshold, pivots, nearest, shared), "links")
     node, root = F.struct("k1", "k2"), F.struct(F.col("r1").alias("k1"), F.col("r2").alias("k2"))
     groups, _ = connected_components(links.select(node.alias("src"), root.alias("dst")).distinct())
     total = links.groupBy("k1", "k2").agg(F.sum("n").alias("n"))
@@ -196,7 +202,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, n_pivots: int |
     valid = F.col("label").isNotNull() & F.col("embedding").isNotNull() & clean & F.exists("embedding", lambda x: x != 0)
     rows = vectors.select("vec_id", F.when(valid, F.struct(*key())).alias("node"))
     smallest = rows.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"))
-    ids = smallest.join(stats, "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    ids, _ = materialize(smallest.join(stats, "node").groupBy("component").agg(F.min("least").alias("component_id")), "ids")
     of_node = stats.join(ids, "component").select("node", "n", "component_id", "copies")
     out = rows.join(of_node, "node", "left")
     component = F.coalesce("component_id", "vec_id")
