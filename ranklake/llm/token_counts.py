@@ -10,22 +10,25 @@ among section starts. A token that crosses a boundary is allocated by a rule:
 
 Every token is counted once, so the counts of a document sum to its token count under either rule.
 
-Defined results: a null text counts as empty; an empty text has one section with no tokens; repeated rows give repeated
-results; a null doc_id stays null; an empty table gives an empty result; other columns are dropped.
+Defined results: a null text counts as empty; an empty text has one section with no tokens; a very long text is encoded
+whole; repeated rows give repeated results; a null doc_id stays null and ids of any size keep their value; an empty table gives
+an empty result; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranklake.llm.common import ship, text_or_empty
 
@@ -69,35 +72,44 @@ def encoder(ranks: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
-def field_text(fields: list[str], separator: str = "\n") -> Column:
-    """The fields of a row as one text with a section a field; separators inside the fields become spaces."""
-    return F.concat_ws(separator, *[F.translate(F.coalesce(F.col(f).cast("string"), F.lit("")), separator, " ") for f in fields])
+def by_section(docs: DataFrame, ranks_path: str, pattern: str, fields: list[str] | None = None, separator: str = "\n", rule: str = "first") -> DataFrame:
+    """(doc_id, section, start, end, n_tokens, doc_tokens): a row for each section; offsets in code points, end exclusive.
 
-
-def by_section(docs: DataFrame, ranks_path: str, pattern: str, text: Column | None = None, separator: str = "\n", rule: str = "first") -> DataFrame:
-    """(doc_id, section, start, end, n_tokens, doc_tokens): a row for each section; offsets in code points, end exclusive."""
+    Without ``fields`` the sections are the parts of ``text`` that end with ``separator``. With them they are the fields of a row,
+    null as empty, joined by ``separator``, which belongs to the field before it; a field may hold separators itself.
+    """
     spark = docs.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(Path(ranks_path).read_bytes())  # of the vocabulary's size
-    mark = ord(separator)
+    mark = separator.encode()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(ranks.value, pattern)
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
             width = []
-            for t in b["text"]:
+            for parts in b.column("parts").to_pylist():
+                t = separator.join(parts)
                 raw = np.frombuffer(t.encode("utf-8"), np.uint8)
-                starts = np.concatenate([[0], np.flatnonzero(raw[:-1] == mark) + 1]).astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+                if fields is None:
+                    found = np.flatnonzero(raw[:-1] == mark[0]) + 1 if len(mark) == 1 else np.array([m.end() for m in re.finditer(re.escape(mark), raw.tobytes()) if m.end() < len(raw)], np.int64)
+                    starts = np.concatenate([[0], found]).astype(np.int64) if len(raw) else np.zeros(1, np.int64)
+                else:
+                    sizes = np.array([len(x.encode("utf-8")) + len(mark) for x in parts], np.int64)
+                    starts = np.cumsum(sizes) - sizes
                 ids = enc.ids(t)
                 n = attribute(enc.sizes[ids], starts, len(raw), rule)
                 before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])  # code points before each byte
-                begin = before[starts]
+                begin = before[np.minimum(starts, len(raw))]
                 for x, y in zip(out, (np.arange(len(starts)), begin, np.append(begin[1:], before[-1]), n, np.full(len(starts), len(ids))), strict=True):
                     x.append(y)
                 width.append(len(starts))
             section, begin, end, n, whole = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
-            yield pd.DataFrame({"doc_id": b["doc_id"].repeat(width).to_numpy(), "section": section.astype(np.int32), "start": begin, "end": end, "n_tokens": n, "doc_tokens": whole})
-
-    rows = docs.select("doc_id", (text_or_empty() if text is None else text).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, section int, start long, end long, n_tokens long, doc_tokens long")
+            row = pa.array(np.repeat(np.arange(len(width), dtype=np.int32), width))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(row), pa.array(section.astype(np.int32)), *(pa.array(x.astype(np.int64)) for x in (begin, end, n, whole))], names=["doc_id", "section", "start", "end", "n_tokens", "doc_tokens"]
+            )
+
+    parts = [text_or_empty()] if fields is None else [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    longs = [T.StructField(n, T.LongType()) for n in ("start", "end", "n_tokens", "doc_tokens")]
+    return docs.select("doc_id", F.array(*parts).alias("parts")).mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("section", T.IntegerType()), *longs]))
