@@ -24,9 +24,10 @@ from pathlib import Path
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ranklake.llm.common import ship, text_or_empty
 
@@ -168,16 +169,16 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
     ship(spark)
     model = spark.sparkContext.broadcast(Path(model_path).read_bytes())  # under 1 MB for 32,000 pieces
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
         for b in batches:
             n, ids, decoded = [], [], []
-            for t in b["text"]:
+            for t in b.column("text").to_pylist():
                 e = c.encode(t)
                 n.append(len(e))
                 ids.append(hashlib.sha256(e.tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(c.decode(e).encode("utf-8", "surrogatepass")).hexdigest())
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded})
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(run, T.StructType([docs.schema["doc_id"], *fields]))
