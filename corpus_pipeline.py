@@ -1,7 +1,11 @@
 """A corpus in five stages: quality, repeated lines, near-duplicates, secrets, packing into training sequences.
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written and read again as the next stage's docs. All
-but the last keep the columns of documents.
+but the last keep the columns of documents, others of any name among them.
+
+Defined results, for all stages: a null text counts as empty and stays null where it isn't changed; empty and very long texts
+are treated whole, like any other; a null doc_id stays null; an empty table gives an empty result. Rows equal in doc_id and text
+are treated alike by quality, lines and secrets, are one document for near_duplicates, and are packed each for itself.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ranklake.llm import bestfit_pack, line_dedup, pu_quality, secret_scan, simhash_dedup
-from ranklake.llm.common import materialize, table, tokenizer_path
+from ranklake.llm.common import materialize, remove, table, tokenizer_path
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -25,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines of repeated three-line windows; a document all of whose lines are repeats goes."""
-    cleaned = line_dedup.remove_repeats(docs)
-    return _counted(cleaned.where("n_removed < n_lines").select(*docs.columns))
+    cleaned, (n_lines, n_removed) = line_dedup.remove_repeats(docs), line_dedup.count_columns(docs)
+    return _counted(cleaned.where(F.col(n_removed) < F.col(n_lines)).select(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), ""
     for name, stage in STAGES[:-1]:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        docs, path = materialize(stage(spark, docs, sf_dir), name)
+        if before:  # it has been read
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
