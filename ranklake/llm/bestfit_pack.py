@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from ranklake.llm.common import materialize, ship, text_or_empty
+from ranklake.llm.common import hold, materialize, ship, text_or_empty
 
 #: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept. A word
 #: enters its table when it is met again, which a bit of its hash among SEEN tells, so words that occur once take no room.
-WORDS, PLAIN, LONGEST, SEEN = 500_000, 300_000, 48, 1 << 23
+WORDS, PLAIN, LONGEST, SEEN = 400_000, 250_000, 48, 1 << 23
 #: Pieces of one length are ranked in groups: of this many rows at least, and no more groups than that over all lengths.
 GROUP_ROWS, GROUPS = 4096, 65_536
 #: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
@@ -59,7 +59,7 @@ class WordTokens:
         self.forget()
 
     def forget(self) -> None:
-        """Empties the tables of words, so that an idle worker holds none."""
+        """Empties the tables of words, so that the worker's next stage doesn't hold them."""
         self._known: dict[str, bytes] = {"": b""}  # words as they stand in the text
         self._plain: dict[str, bytes] = {}  # lower-case words of letters
         self._marks: dict[str, bytes] = {"": b""}  # groups of marks
@@ -149,24 +149,22 @@ def pieces(docs: DataFrame, model_path: str, capacity: int, end_id: int = 0) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, end = word_tokens(model.value), np.array([end_id], "<u4")
-        try:
-            for b in batches:
-                row, rows = [], []
-                for i, body in enumerate(t.encode(b.column("text").to_pylist())):
-                    ids = np.concatenate([body, end])
-                    for k, at in enumerate(range(0, len(ids), capacity)):
-                        part = ids[at : at + capacity]
-                        crc = zlib.crc32(part.tobytes())
-                        row.append(i)
-                        rows.append((k, at, len(part), crc))
-                k, at, n, crc = np.array(rows, np.int64).reshape(-1, 4).T
-                index = pa.array(row, pa.int32())
-                mark = (b.column("mark").take(index).to_numpy(zero_copy_only=False) ^ crc ^ k * 0x9E3779B1) & 0x7FFFFFFF
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(index), pa.array(k.astype(np.int32)), pa.array(at), pa.array(n), pa.array(crc), pa.array(mark)], names=["doc_id", "piece", "start", "length", "ids_crc32", "mark"]
-                )
-        finally:
-            t.forget()
+        hold("pieces", t.forget)
+        for b in batches:
+            row, rows = [], []
+            for i, body in enumerate(t.encode(b.column("text").to_pylist())):
+                ids = np.concatenate([body, end])
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    crc = zlib.crc32(part.tobytes())
+                    row.append(i)
+                    rows.append((k, at, len(part), crc))
+            k, at, n, crc = np.array(rows, np.int64).reshape(-1, 4).T
+            index = pa.array(row, pa.int32())
+            mark = (b.column("mark").take(index).to_numpy(zero_copy_only=False) ^ crc ^ k * 0x9E3779B1) & 0x7FFFFFFF
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(index), pa.array(k.astype(np.int32)), pa.array(at), pa.array(n), pa.array(crc), pa.array(mark)], names=["doc_id", "piece", "start", "length", "ids_crc32", "mark"]
+            )
 
     return docs.select("doc_id", text_or_empty().alias("text"), F.xxhash64("doc_id").alias("mark")).mapInArrow(
         run, T.StructType([docs.schema["doc_id"], *(T.StructField(c, t) for c, t in (("piece", T.IntegerType()), *((c, T.LongType()) for c in ("start", "length", "ids_crc32", "mark"))))])
@@ -272,6 +270,7 @@ def pack(docs: DataFrame, model_path: str, capacity: int = 2048) -> DataFrame:
     known = spark.sparkContext.broadcast((key, columns, before, starts))  # bounded as the counts are; slots by pairs of lengths
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("places")
         key, c, before, starts = known.value
         for b in batches:
             n, salt, nth = (b.column(x).to_numpy() for x in ("length", "salt", "nth"))

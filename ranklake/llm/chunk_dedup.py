@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklake.llm.common import materialize, ship, text_or_empty, unused
+from ranklake.llm.common import hold, materialize, ship, text_or_empty, unused
 
 WINDOW = 16
 
@@ -91,6 +91,7 @@ def chunks(docs: DataFrame, bits: int, least: int, most: int) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("chunks")
         for b in batches:
             start, size, digest, count = [np.zeros(0)], [np.zeros(0)], [], []
             for t in b.column("text").to_pylist():

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import io
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +48,26 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_HELD: list[tuple[str, Callable[[], None] | None]] = []
+
+
+def hold(owner: str, forget: Callable[[], None] | None = None) -> None:
+    """Called at the start of each function in a Python worker: what another operator's tables hold there is given back.
+
+    Workers serve one stage after the other, so tables that only grow would be held beside the next operator's.
+    """
+    if _HELD and _HELD[0][0] == owner:
+        return
+    if _HELD:
+        if _HELD[0][1] is not None:
+            _HELD[0][1]()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # freed memory goes back where the C library can do that
+            ctypes.CDLL(None).malloc_trim(0)
+    _HELD[:] = [(owner, forget)]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine, as in tests."""
     sc = spark.sparkContext

@@ -29,7 +29,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ranklake.llm.common import ship, text_or_empty
+from ranklake.llm.common import hold, ship, text_or_empty
 
 MARK = "▁"
 #: Entries of the tables of pieces and of pairs, and characters of the longest piece that is kept.
@@ -148,6 +148,11 @@ class PieceCodec:
                 self._words[word] = known
         return known
 
+    def forget(self) -> None:
+        """Empties the tables of pieces and pairs, so that the worker's next stage doesn't hold them."""
+        self._words.clear()
+        self._pairs.clear()
+
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 
@@ -171,6 +176,7 @@ def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model.value)
+        hold("codec", c.forget)
         for b in batches:
             n, ids, decoded = [], [], []
             for t in b.column("text").to_pylist():

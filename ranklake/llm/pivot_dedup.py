@@ -129,6 +129,7 @@ def linked(found: DataFrame, threshold: float, n_pivots: int, nearest: int, shar
     lists = nearest - shared + 1
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("pivots")
         for b in batches:
             sizes = b["embedding"].map(len)
             for d, part in b.groupby(sizes):

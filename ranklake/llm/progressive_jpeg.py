@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ranklake.llm.common import ship, text_or_empty, unused
+from ranklake.llm.common import hold, ship, text_or_empty, unused
 
 UNIT = 192
 
@@ -594,6 +594,7 @@ def media(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("media")
         for b in batches:
             rows = [(n, encode(p)) for n, p in map(padded, b.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([n for n, _ in rows], pa.int64()), pa.array([m for _, m in rows], pa.binary())], names=["doc_id", "n_bytes", "media"])
@@ -611,6 +612,7 @@ def tensors(files: DataFrame, column: str = "media") -> DataFrame:
     names = unused(files, "height", "width", "rgb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("tensors")
         for b in batches:
             t = [None if m is None else rgb(decode(m)) for m in b.column(column).to_pylist()]
             new = [pa.array([None if x is None else x.shape[k] for x in t], pa.int32()) for k in (0, 1)]
@@ -628,6 +630,7 @@ def digests(files: DataFrame) -> DataFrame:
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("digests")
         for b in batches:
             rows = []
             for m in b.column("media").to_pylist():

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import materialize, remove, ship, text_or_empty
+from ranklake.llm.common import hold, materialize, remove, ship, text_or_empty
 
 
 def _classes() -> np.ndarray:
@@ -218,6 +218,7 @@ def gram_counts(rows: DataFrame) -> np.ndarray:
     size = sum(1 << bits for _, bits in GRAMS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("counts")
         total = np.zeros((4, size), np.int64)
         for b in batches:
             for t, p, u, h in zip(b["text"], b["positive"], b["unlabelled"], b["half"], strict=True):
@@ -255,6 +256,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior: float |
 
     @F.pandas_udf("array<float>")
     def describe(texts: pd.Series, halves: pd.Series) -> pd.Series:
+        hold("statistics")
         return pd.Series([np.array(described(t, other[h]), np.float32) for t, h in zip(texts, halves, strict=True)])
 
     got = rows.select("doc_id", "positive", "unlabelled", "half", describe("text", "half").alias("x")).toPandas().sort_values("doc_id")  # 2 x most rows at most
@@ -288,6 +290,7 @@ def scorer(model: Model | float) -> Callable[[Column], Column]:
 
     @F.pandas_udf("double")
     def udf(texts: pd.Series) -> pd.Series:
+        hold("score")
         if not isinstance(model, Model):
             return pd.Series(np.full(len(texts), model))
         x = np.array([described(t, model.tables) for t in texts], dtype=np.float32).reshape(-1, len(NAMES) + len(GRAMS))

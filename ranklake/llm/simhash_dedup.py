@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import connected_components, materialize, remove, ship, text_or_empty, unused
+from ranklake.llm.common import connected_components, hold, materialize, remove, ship, text_or_empty, unused
 
 BITS = 64
 #: What one candidate costs, in probes: a comparison inside the join against a row that is made, shuffled and sorted.
@@ -51,6 +51,7 @@ def fingerprint_column(text: Column, words: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def udf(texts: pd.Series) -> pd.Series:
+        hold("fingerprints")
         return pd.Series(np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64))
 
     return udf(text)
@@ -60,6 +61,7 @@ def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
     """Number of fingerprints and how many have bits i and j set, over all rows of ``fps`` (fp); 64 x 64 numbers."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold("bits")
         n, both = 0, np.zeros((BITS, BITS))
         for b in batches:
             x = np.unpackbits(b["fp"].to_numpy(np.int64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
@@ -276,23 +278,40 @@ def _banded(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "keys"], F.posexplode("keys").alias("band", "key"))
 
 
-def band_star_links(classes: DataFrame) -> DataFrame:
-    """(a, b): each class of ``classes`` (cls, keys) with one centre of each of its band keys."""
+def band_star_links(classes: DataFrame, centres: int = 2) -> DataFrame:
+    """(a, b): each class of ``classes`` (cls, keys) with ``centres`` centres of each of its band keys."""
     rows = _banded(classes.select("cls", "keys"))
-    found = rows.groupBy("band", "key").agg(F.min_by("cls", F.xxhash64("cls", "band")).alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    chosen, _ = materialize(found, "centres")
-    met = rows.join(chosen, ["band", "key"]).where("cls <> c")
+    some = F.array_distinct(F.array(*[F.min_by("cls", F.xxhash64("cls", "band", F.lit(k))) for k in range(centres)]))
+    chosen, _ = materialize(rows.groupBy("band", "key").agg(some.alias("c"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "centres")
+    met = rows.join(chosen, ["band", "key"]).select("cls", F.explode("c").alias("c")).where("cls <> c")
     return met.select(F.least("cls", "c").alias("a"), F.greatest("cls", "c").alias("b")).distinct()
 
 
-def band_links(classes: DataFrame) -> DataFrame:
-    """(a, b): all pairs of ``classes`` (cls, keys, group) of different groups that share a band key."""
-    rows = _banded(classes.select("cls", "keys", "group"))
+def mixed_bands(classes: DataFrame) -> DataFrame:
+    """(band, key, cls, keys, group) of ``classes`` (cls, keys, group): the bands that classes of different groups share."""
+    rows = classes.select("cls", "keys", "group", F.posexplode("keys").alias("band", "key"))
     found = rows.groupBy("band", "key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("band", "key")
     mixed, _ = materialize(found, "mixed")
-    left, _ = materialize(rows.join(mixed, ["band", "key"]), "bands")
-    x, y = (left.select("band", "key", F.col("cls").alias(c), F.col("group").alias(g)) for c, g in (("a", "ga"), ("b", "gb")))
-    return x.join(y, ["band", "key"]).where("a < b and ga <> gb").select("a", "b").distinct()
+    return rows.join(mixed, ["band", "key"])
+
+
+def alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets have so large a Jaccard similarity; sizes alone decide first."""
+    x, y = F.size(a), F.size(b)
+    shared = F.size(F.array_intersect(a, b))
+    return (F.least(x, y) >= similarity * F.greatest(x, y)) & (shared >= similarity * (x + y - shared))
+
+
+def band_links(left: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): pairs of ``mixed_bands`` of different groups whose sets in ``held`` (cls, s) are similar.
+
+    Sets are compared within the join, so candidates that fail make no row; a pair is compared in its first common band.
+    """
+    rows = left.join(held, "cls")
+    x, y = (rows.select("band", "key", *[F.col(c).alias(c[0] + end) for c in ("cls", "group", "keys", "s")]) for end in ("a", "b"))
+    first = F.array_position(F.zip_with("ka", "kb", lambda p, q: p == q), True) == x["band"] + 1
+    near = (x["band"] == y["band"]) & (x["key"] == y["key"]) & (F.col("ca") < F.col("cb")) & (F.col("ga") != F.col("gb")) & first & alike("sa", "sb", similarity)
+    return x.join(y, near).select(F.col("ca").alias("src"), F.col("cb").alias("dst"))
 
 
 def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[int, ...] = PARTS, similarity: float = 0.8, shingle: int = 5) -> DataFrame:
@@ -302,14 +321,15 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
     Candidates are the pairs with fingerprints of ``words``-word shingles within ``radius`` bits and those whose sets share a
     min-hash band. Texts with equal sets are one class. Candidates are verified in two turns: first a few for each
     fingerprint and band, with centres of the keys that it probes; then all candidates whose ends are still in different
-    components. The components are those of all verified pairs, while a dense group costs a few rows for each class, not one
-    for each pair. th is a hash of the text.
+    components, those of bands within their join. The components are those of all verified pairs, while a dense group costs a
+    few rows for each class, not one for each pair. th is a hash of the text.
     """
     spark = docs.sparkSession
     ship(spark)
 
     @F.pandas_udf("struct<fp long, k1 long, k2 long, keys array<long>>")
     def describe(texts: pd.Series) -> pd.DataFrame:
+        hold("described")
         rows = []
         for t in texts:
             found = shingle_set(t, shingle)
@@ -319,40 +339,54 @@ def components(docs: DataFrame, words: int = 3, radius: int = 6, parts: tuple[in
 
     @F.pandas_udf("array<long>")
     def sets(texts: pd.Series) -> pd.Series:
+        hold("sets")
         return pd.Series([shingle_set(t, shingle) for t in texts])
 
     text = text_or_empty()
     th = F.xxhash64(text).alias("th")
+    # A text is found again by its hash and that of its id, so that the copies of one text aren't all gathered for it.
+    at = F.xxhash64("doc_id").alias("at")
     rows, _ = materialize(docs.select("doc_id", th, describe(text).alias("d")).select("doc_id", "th", "d.fp", F.struct("d.k1", "d.k2").alias("cls"), "d.keys"), "described")
-    classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th", "keys")).alias("m")).select("cls", "m.fp", "m.th", "m.keys"), "sets")
+    classes, _ = materialize(rows.groupBy("cls").agg(F.min(F.struct("fp", "th", at, "keys")).alias("m")).select("cls", "m.fp", "m.th", "m.at", "m.keys"), "sets")
     fps, _ = materialize(classes.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("cls").alias("cls")), "fps")
     groups, thresholds = partition(fps.select("fp"), radius, parts)
     same = fps.where("n > 1").select(F.col("fp").alias("src"), F.col("fp").alias("dst"))
     ends = {x: classes.select(F.col("cls").alias(x), F.col("fp").alias(y)) for x, y in (("a", "src"), ("b", "dst"))}
 
-    def verified(found: DataFrame, banded: DataFrame) -> DataFrame:
-        """Pairs of classes (src, dst) whose sets are similar, of those of linked fingerprints and those given as (a, b)."""
-        pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
-        pairs, p_pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(banded).distinct(), "pairs")
-        asked = classes.join(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "cls").select("cls", "th")
-        source = docs.select(th, text.alias("text")).join(asked, "th", "left_semi").dropDuplicates(["th"])
-        held, p_held = materialize(source.join(asked, "th").select("cls", sets(F.col("text")).alias("s")), "shingles")
+    def sets_of(some: DataFrame) -> tuple[DataFrame, str]:
+        """(cls, s) of the classes of ``some`` (cls)."""
+        asked = classes.join(some.distinct(), "cls").select("cls", "th", "at")
+        source = docs.select(th, at, text.alias("text")).join(asked, ["th", "at"]).dropDuplicates(["th", "at"])
+        return materialize(source.select("cls", sets(F.col("text")).alias("s")), "shingles")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those pairs of classes (a, b) whose sets are similar, as (src, dst)."""
+        pairs, p_pairs = materialize(pairs.distinct(), "pairs")
+        held, p_held = sets_of(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")))
         x, y = held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), held.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-        shared = F.size(F.array_intersect("sa", "sb"))
-        alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
-        out, _ = materialize(pairs.join(x, "a").join(y, "b").where(alike).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
+        out, _ = materialize(pairs.join(x, "a").join(y, "b").where(alike("sa", "sb", similarity)).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
         remove(spark, p_pairs)
         remove(spark, p_held)
         return out
 
-    first = verified(star_links(spread(fps.select("fp")), radius, groups, thresholds).unionByName(same), band_star_links(classes))
+    def classes_of(found: DataFrame) -> DataFrame:
+        """(a, b): classes of linked fingerprints (src, dst)."""
+        pairs = found.join(ends["a"], "src").join(ends["b"], "dst").where((F.col("src") < F.col("dst")) | (F.col("a") < F.col("b")))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    first = verified(classes_of(star_links(spread(fps.select("fp")), radius, groups, thresholds).unionByName(same)).union(band_star_links(classes)))
     so_far, _ = connected_components(first)
     # A fingerprint of several classes has no group of its own, so none of its candidates is left out.
     label = F.when(F.col("n") == 1, F.coalesce("component", "cls")["k1"])
     grouped = fps.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("fp", label.alias("group"))
     of_class = classes.join(so_far.select(F.col("node").alias("cls"), "component"), "cls", "left").select("cls", "keys", F.coalesce("component", "cls")["k1"].alias("group"))
-    second = verified(links(spread(grouped), radius, groups, thresholds), band_links(of_class))
-    labels, _ = connected_components(first.unionByName(second))
+    second = verified(classes_of(links(spread(grouped), radius, groups, thresholds)))
+    left, p_left = materialize(mixed_bands(of_class), "bands")
+    held, p_held = sets_of(left.select("cls"))
+    third, _ = materialize(band_links(left, held, similarity), "links")
+    for path in (p_left, p_held):
+        remove(spark, path)
+    labels, _ = connected_components(first.unionByName(second).unionByName(third))
     out = rows.join(labels.select(F.col("node").alias("cls"), "component"), "cls", "left")
     return out.select("doc_id", "th", F.coalesce("component", "cls").alias("component"))
 

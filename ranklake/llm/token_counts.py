@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ranklake.llm.common import ship, text_or_empty
+from ranklake.llm.common import hold, ship, text_or_empty
 
 
 class Encoder:
@@ -84,6 +84,7 @@ def by_section(docs: DataFrame, ranks_path: str, pattern: str, fields: list[str]
     mark = separator.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("sections")
         enc = encoder(ranks.value, pattern)
         for b in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], []]
