@@ -32,9 +32,9 @@ from tokenizers import Tokenizer
 
 from ranklake.llm.common import hold, materialize, ship, text_or_empty
 
-#: Entries of a worker's tables of words as they stand and of lower-case words, and characters of the longest one kept. A word
-#: enters its table when it is met again, which a bit of its hash among SEEN tells, so words that occur once take no room.
-WORDS, PLAIN, LONGEST, SEEN = 400_000, 250_000, 48, 1 << 23
+#: Entries of a worker's table of words as they stand, and of that of lower-case words, by default; characters of the longest word
+#: kept. A table half full takes a word up when it is met again, which a byte at its hash among SEEN tells.
+WORDS, LONGEST, SEEN = 300_000, 48, 1 << 22
 #: Pieces of one length are ranked in groups: of this many rows at least, and no more groups than that over all lengths.
 GROUP_ROWS, GROUPS = 4096, 65_536
 #: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
@@ -49,7 +49,8 @@ class WordTokens:
     other word is encoded by itself.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, words: int = WORDS):
+        self.words = words
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -65,15 +66,16 @@ class WordTokens:
         self._marks: dict[str, bytes] = {"": b""}  # groups of marks
         self._seen = bytearray(SEEN)
 
-    def _again(self, fresh: dict[str, bytes], salt: int) -> dict[str, bytes]:
-        """Those of the words that were met before; the others are marked."""
-        seen, mask, out = self._seen, SEEN - 1, {}
+    def _kept(self, table: dict[str, bytes], fresh: dict[str, bytes], most: int, salt: int) -> None:
+        """Takes new words up: all of them while the table is half empty, and then those that were met before."""
+        seen, mask = self._seen, SEEN - 1
+        free = most // 2 - len(table)
         for w, ids in fresh.items():
             at = (hash(w) ^ salt) & mask
-            if seen[at] and len(w) <= LONGEST:
-                out[w] = ids
+            if (free > 0 or seen[at]) and len(w) <= LONGEST:
+                table[w] = ids
+                free -= 1
             seen[at] = 1
-        return out
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -97,16 +99,16 @@ class WordTokens:
         """The ids of each text."""
         known, plain = self._known, self._plain
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(known) > WORDS:
+        if len(known) > self.words:
             known.clear()
             known[""] = b""
-        if len(plain) > PLAIN:
+        if len(plain) > self.words:
             plain.clear()
-        found = [list(map(known.get, words)) for words in split]  # a word is looked up once
-        new = {w for words, got in zip(split, found, strict=True) if None in got for w, g in zip(words, got, strict=True) if g is None}
         fresh: dict[str, bytes] = {}
         parted: list[tuple[str, str, bytes]] = []
-        for w in new:
+        for w in set().union(*split):
+            if w in known:
+                continue
             letters = w.rstrip(MARKS)
             if letters.isalpha() and (letters.isascii() or (unicodedata.is_normalized("NFC", letters) and "\u03a3" not in letters)):
                 tail = w[len(letters) :]
@@ -122,25 +124,26 @@ class WordTokens:
         for w, x, mark in parted:
             ids = plain.get(x)
             fresh[w] = (learnt[x] if ids is None else ids) + mark
-        plain.update(self._again(learnt, 1))
-        known.update(self._again(fresh, 0))
-        for words, got in zip(split, found, strict=True):
-            if None in got:
-                got = [fresh[w] if g is None else g for w, g in zip(words, got, strict=True)]
-            yield np.frombuffer(b"".join(got), "<u4")
+        self._kept(plain, learnt, self.words, 1)
+        known.update(fresh)
+        for words in split:
+            yield np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        for w in fresh:
+            del known[w]
+        self._kept(known, fresh, self.words, 0)
 
 
 _TOKENS: dict[str, WordTokens] = {}
 
 
-def word_tokens(model: str) -> WordTokens:
-    key = hashlib.sha256(model.encode()).hexdigest()
+def word_tokens(model: str, words: int) -> WordTokens:
+    key = hashlib.sha256(f"{words} {model}".encode()).hexdigest()
     if key not in _TOKENS:
-        _TOKENS[key] = WordTokens(model)
+        _TOKENS[key] = WordTokens(model, words)
     return _TOKENS[key]
 
 
-def pieces(docs: DataFrame, model_path: str, capacity: int, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, model_path: str, capacity: int, end_id: int = 0, words: int = WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, mark): each document's tokens and the end id, cut at ``capacity``; mark is a
     hash of the piece."""
     spark = docs.sparkSession
@@ -148,7 +151,7 @@ def pieces(docs: DataFrame, model_path: str, capacity: int, end_id: int = 0) ->
     model = spark.sparkContext.broadcast(Path(model_path).read_text(encoding="utf-8"))  # of the vocabulary's size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, end = word_tokens(model.value), np.array([end_id], "<u4")
+        t, end = word_tokens(model.value, words), np.array([end_id], "<u4")
         hold("pieces", t.forget)
         for b in batches:
             row, rows = [], []
@@ -247,10 +250,13 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return slots
 
 
-def pack(docs: DataFrame, model_path: str, capacity: int = 2048) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
+def pack(docs: DataFrame, model_path: str, capacity: int = 2048, words: int = WORDS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
+
+    ``words`` bounds a worker's two tables of words, about 160 bytes an entry: it trades memory for time and changes no result.
+    """
     spark = docs.sparkSession
-    cut, _ = materialize(pieces(docs, model_path, capacity), "pieces")
+    cut, _ = materialize(pieces(docs, model_path, capacity, words=words), "pieces")
     lengths = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most ``capacity`` numbers
     rows = max(GROUP_ROWS, sum(lengths.values()) // GROUPS)
     groups = spark.createDataFrame([(n, -(-c // rows)) for n, c in lengths.items()], "length long, groups long")

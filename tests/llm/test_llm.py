@@ -509,14 +509,12 @@ def test_packing(spark):
     assert bestfit_pack.pack(df.limit(0), path).count() == 0
 
 
-def test_words_are_the_library_whatever_the_tables_hold(monkeypatch):
+def test_words_are_the_library_whatever_the_tables_hold():
     path = tokenizer_path("word_bpe_49k.json")
     from tokenizers import Tokenizer
 
     t, rng = Tokenizer.from_file(path), random.Random(4)
-    monkeypatch.setattr(bestfit_pack, "WORDS", 20)
-    monkeypatch.setattr(bestfit_pack, "PLAIN", 10)
-    own = bestfit_pack.WordTokens(open(path, encoding="utf-8").read())
+    own = bestfit_pack.WordTokens(open(path, encoding="utf-8").read(), words=20)
     pool = ["it's", "Word,", "word", "ΣΟΣ", "é", "naïve!!!", "1,000", "x", "...", "longer" * 12, "漢字", "a.b"]
     for _ in range(60):
         texts = [" ".join(rng.choice(pool) + rng.choice(["", "s", "!"]) for _ in range(rng.randint(0, 30))) for _ in range(5)]
