@@ -140,11 +140,10 @@ class Bits:
         """All symbols from here to the end, ``most`` at most, and the value of the bits after each; ``step`` is by 16 bits."""
         d = np.frombuffer(self.data, np.uint8).astype(np.uint32)
         n = self.size // 8
-        three = d[:n] << 16 | d[1 : n + 1] << 8 | d[2 : n + 2]
-        window = (three[:, None] >> np.arange(8, 0, -1, dtype=np.uint32)).astype(np.uint16).ravel()
-        steps = step[window].tobytes()
-        mark = bytearray(self.size)
-        at = self.at
+        four = d[:n] << 24 | d[1 : n + 1] << 16 | d[2 : n + 2] << 8 | d[3 : n + 3]
+        window = (four[:, None] >> SHIFTS).astype(np.uint16).ravel()
+        all_steps = step[window]
+        steps, mark, at = all_steps.tobytes(), bytearray(self.size), self.at
         try:
             while True:
                 mark[at] = 1
@@ -152,16 +151,21 @@ class Bits:
         except IndexError:
             pass
         at = np.flatnonzero(np.frombuffer(mark, np.uint8))[:most]
-        far = step[window[at]] == FAR
-        if far.any():  # padding at the end has no code; anything else is damaged
-            at = at[: int(far.argmax())]
+        if len(at) and all_steps[at[-1]] == FAR:  # padding at the end has no code
+            at = at[:-1]
+        if (all_steps[at] == FAR).any():
+            raise ValueError("no such code")
         w = window[at]
-        begin, symbol = at + table.length[w], table.symbol[w]
-        extra = (step[w] - table.length[w]).astype(np.uint32)
-        i = begin >> 3
-        four = d[i] << 24 | d[i + 1] << 16 | d[i + 2] << 8 | d[i + 3]
-        value = four >> (32 - extra - (begin & 7).astype(np.uint32)) & ((np.uint32(1) << extra) - 1)
-        return symbol, np.where(extra, value, 0).astype(np.int32)
+        symbol, length = table.symbol[w], table.length[w]
+        extra = (all_steps[at] - length).astype(np.uint32)
+        begin = at + length
+        i = np.minimum(begin >> 3, n - 1)  # values past the end have no bits
+        value = four[i] >> (32 - extra - (begin & 7).astype(np.uint32)) & MASKS[extra]
+        return symbol, value.astype(np.int32)
+
+
+SHIFTS = np.arange(16, 8, -1, dtype=np.uint32)
+MASKS = (1 << np.arange(32, dtype=np.uint32)) - 1
 
 
 def _extend(value: int, size: int) -> int:
@@ -499,6 +503,10 @@ def _signed_bytes() -> np.ndarray:
 
 
 SIGNED = _signed_bytes()
+#: The byte of each AC coefficient from -129 on, 0 where there is none.
+BYTES = np.zeros(512, np.uint8)
+BYTES[SIGNED + 129] = np.arange(256)
+HALVES = np.sign(SIGNED) * (np.abs(SIGNED) >> 1)
 
 
 def _sizes(x: np.ndarray) -> np.ndarray:
@@ -506,9 +514,11 @@ def _sizes(x: np.ndarray) -> np.ndarray:
     return np.frexp(np.abs(x).astype(np.float64))[1]
 
 
-def _tokens(codes: dict[int, tuple[int, int]], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+HALF_SIZES, LOWEST = _sizes(HALVES), (np.abs(SIGNED) & 1).astype(np.uint8)
+
+
+def _tokens(codes: dict[int, tuple[int, int]], values: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits and their number of each value: the code of its size, then its magnitude as JPEG extends it."""
-    size = _sizes(values)
     code, length = np.zeros(17, np.int64), np.zeros(17, np.int64)
     for x, (c, n) in codes.items():
         code[x], length[x] = c, n
@@ -516,7 +526,8 @@ def _tokens(codes: dict[int, tuple[int, int]], values: np.ndarray) -> tuple[np.n
     return code[size] << size | low, length[size] + size
 
 
-LUMA_BANDS, CHROMA_BANDS = ((1, 5), (6, 63)), ((1, 63),)
+#: AC bands of luma and chroma; luma of images under SMALL MCUs has one, for a scan has a fixed cost.
+LUMA_BANDS, CHROMA_BANDS, SMALL = ((1, 5), (6, 63)), ((1, 63),), 32
 
 
 def shape(payload_bytes: int) -> tuple[int, int]:
@@ -543,16 +554,15 @@ def encode(payload: bytes) -> bytes:
     for k in range(3):
         at = np.flatnonzero(order[:, 0] == k)
         moves[at] = np.diff(dc[at] >> 1, prepend=0)
-    table, codes = _codes({int(x): int(c) for x, c in zip(*np.unique(_sizes(moves), return_counts=True), strict=True)})
-    out += [_segment(0xC4, b"\x00" + table), _segment(0xDA, all_dc + bytes([0, 0, 0x01])), *_packed(*_tokens(codes, moves), [len(moves)])]
+    sizes = _sizes(moves)
+    table, codes = _codes({x: c for x, c in enumerate(np.bincount(sizes).tolist()) if c})
+    out += [_segment(0xC4, b"\x00" + table), _segment(0xDA, all_dc + bytes([0, 0, 0x01])), *_packed(*_tokens(codes, moves, sizes), [len(moves)])]
     out += [_segment(0xDA, all_dc + bytes([0, 0, 0x10])), _entropy((dc & 1).astype(np.uint8))]
 
-    scans = [(k + 1, part, band) for k, part in enumerate(parts) for band in (LUMA_BANDS if k == 0 else CHROMA_BANDS)]
+    scans = [(k + 1, part, band) for k, part in enumerate(parts) for band in (LUMA_BANDS if k == 0 and n >= SMALL else CHROMA_BANDS)]
     seen = np.bincount(data[:, 1:].ravel(), minlength=256)
-    halves = np.sign(SIGNED) * (np.abs(SIGNED) >> 1)
-    table, codes = _codes({int(x): int(c) for x in range(1, 8) if (c := seen[_sizes(halves) == x].sum())})
-    bits, length = _tokens(codes | {x: (0, 0) for x in range(8) if x not in codes}, halves)  # of each byte
-    bits, length = bits.astype(np.uint32), length.astype(np.int64)
+    table, codes = _codes({x: c for x, c in enumerate(np.bincount(HALF_SIZES, seen, 8).astype(int).tolist()) if c})
+    bits, length = _tokens(codes, HALVES, HALF_SIZES)  # of each byte
     flat = np.concatenate([part[:, a : b + 1].ravel() for _, part, (a, b) in scans])
     coded = _packed(bits[flat], length[flat], [part.shape[0] * (b - a + 1) for _, part, (a, b) in scans])
     out.append(_segment(0xC4, b"\x10" + table))
@@ -562,9 +572,8 @@ def encode(payload: bytes) -> bytes:
     symbols = [run.bit_length() - 1 for of in runs for run in of]
     table, codes = _codes({r << 4: symbols.count(r) for r in sorted(set(symbols))})
     out.append(_segment(0xC4, b"\x10" + table))
-    lowest = (np.abs(SIGNED) & 1).astype(np.uint8)
     for (k, part, (a, b)), of in zip(scans, runs, strict=True):
-        raw, stream, at = lowest[part[:, a : b + 1]], [], 0
+        raw, stream, at = LOWEST[part[:, a : b + 1]], [], 0
         for run in of:
             r = run.bit_length() - 1
             code, size = codes[r << 4]
@@ -579,9 +588,9 @@ def encode(payload: bytes) -> bytes:
 def payload_of(image: Image) -> bytes:
     """The bytes that ``encode`` stored, from the coefficients."""
     co = np.concatenate([c.coefficients for c in image.components])
-    data = np.where(co > 0, co - 2, 126 - co)
+    data = BYTES[co + 129]
     data[:, 0] = co[:, 0]
-    return data.astype(np.uint8).tobytes()[: struct.unpack(">Q", image.comment)[0]]
+    return data.tobytes()[: struct.unpack(">Q", image.comment)[0]]
 
 
 def padded(text: str) -> tuple[int, bytes]:
