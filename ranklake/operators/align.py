@@ -7,11 +7,12 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ranklake.functions import text as X
+from ranklake.functions.shipping import ship
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 SPAN = "struct<span string, score double>"
@@ -93,6 +94,8 @@ def align(answer: str | None, unit: str | None) -> tuple[str, float]:
 def aligned(answer: Column, unit: Column) -> Column:
     """struct<span, score>."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf(SPAN)
     def udf(a: pd.Series, u: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([align(x, y) for x, y in zip(a, u, strict=True)], columns=["span", "score"])

@@ -278,8 +278,8 @@ def few_shot(queries: DataFrame, examples: DataFrame, k: int = 2) -> DataFrame:
     """(qid, id, score, nth): the k examples (id, question, context_length, citation_group) nearest to each query.
 
     10 for the same type of question, 4 times the Jaccard similarity of content tokens, and similarity of context lengths. The
-    query's own id and group are left out, and of each group one example is taken. Examples are a small curated table; queries
-    meet them in one pass, keeping the best of each group.
+    query's own id and group are left out, and of each group one example is taken. Queries meet examples by type, and only the
+    best of each group is kept.
     """
     def described(d: DataFrame, p: str) -> DataFrame:
         return d.select(
@@ -288,12 +288,21 @@ def few_shot(queries: DataFrame, examples: DataFrame, k: int = 2) -> DataFrame:
         )
 
     q, e = described(queries, "q"), described(examples, "e")
-    pairs = q.join(e, (F.col("qid") != F.col("eid")) & ((F.col("qgroup") == "") | (F.col("qgroup") != F.col("egroup"))))
-    near = 1 - F.least(F.lit(1.0), F.abs(F.col("elen") - F.col("qlen")) / F.greatest(F.lit(1), F.col("qlen")))
-    score = 10.0 * (F.col("qtype") == F.col("etype")).cast("int") + 4.0 * X.jaccard(F.col("qtokens"), F.col("etokens")) + near
-    pairs = pairs.select("qid", "eid", "egroup", F.round(score, 9).alias("score"))
-    own = F.when(F.col("egroup") == "", F.concat(F.lit("id:"), F.col("eid").cast("string"))).otherwise(F.col("egroup"))
-    best = pairs.groupBy("qid", own.alias("g")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("eid").cast("string").alias("eid"))).alias("m"))
+
+    def best_of(asked: DataFrame) -> DataFrame:
+        """The best example of each group for queries that meet those of type ``want``."""
+        pairs = asked.join(e, (F.col("want") == F.col("etype")) & (F.col("qid") != F.col("eid")) & ((F.col("qgroup") == "") | (F.col("qgroup") != F.col("egroup"))))
+        near = 1 - F.least(F.lit(1.0), F.abs(F.col("elen") - F.col("qlen")) / F.greatest(F.lit(1), F.col("qlen")))
+        score = F.round(10.0 * (F.col("qtype") == F.col("etype")).cast("int") + 4.0 * X.jaccard(F.col("qtokens"), F.col("etokens")) + near, 9)
+        own = F.when(F.col("egroup") == "", F.concat(F.lit("id:"), F.col("eid").cast("string"))).otherwise(F.col("egroup"))
+        return pairs.groupBy("qid", own.alias("g")).agg(F.min(F.struct((-score).alias("s"), F.col("eid").cast("string").alias("eid"))).alias("m"))
+
+    # Another type costs more than all else can gain, so other types are met only by queries with too few groups of their own.
+    same = best_of(q.withColumn("want", F.col("qtype")))
+    full = same.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("qid")
+    types = F.broadcast(e.select(F.col("etype").alias("want")).distinct())  # as many as there are types of questions
+    rest = best_of(q.join(full, "qid", "left_anti").crossJoin(types).where("want <> qtype"))
+    best = same.unionByName(rest).groupBy("qid", "g").agg(F.min("m").alias("m"))
     w = W.partitionBy("qid").orderBy("m.s", "m.eid")
     return best.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("qid", F.col("m.eid").alias("id"), F.round(-F.col("m.s"), 6).alias("score"), "nth")
 

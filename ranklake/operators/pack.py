@@ -41,10 +41,9 @@ def prefilter(candidates: DataFrame, n: int, question: str = "question", text: s
 
 
 def adjacent_range(sizes: Column, at: Column, budget: Column) -> Column:
-    """struct<lo, hi> (from 0) around ``at`` in an array of sizes: forward until the budget is reached, then backward.
+    """struct<lo, hi>, inclusive: from ``at`` on to where the tokens reach the budget; if the rest doesn't, from ``at`` back.
 
-    The budget is where expansion stops, not a cap. Closed form over prefix sums: hi is the first place whose sum from ``at``
-    reaches the budget; if there is none, all the rest is taken and lo is the last place whose sum to the end reaches it.
+    Either way is one running sum.
     """
     return X.let(sizes, lambda s: _range(s, at, budget))
 
@@ -52,25 +51,32 @@ def adjacent_range(sizes: Column, at: Column, budget: Column) -> Column:
 def _range(sizes: Column, at: Column, budget: Column) -> Column:
     n = F.size(sizes)
 
-    def total(a: Column, b: Column) -> Column:
-        return F.aggregate(F.slice(sizes, a + 1, b - a + 1), F.lit(0).cast("long"), lambda s, x: s + x)
+    def reach(some: Column, start: Column) -> Column:
+        """How many of ``some`` it takes to reach the budget, and the sum."""
+        none = F.struct(start.cast("long").alias("sum"), F.lit(0).alias("k"))
+        step = lambda acc, x: F.when(acc["sum"] >= budget, acc).otherwise(F.struct((acc["sum"] + x).alias("sum"), (acc["k"] + 1).alias("k")))
+        return F.aggregate(some, none, step)
 
-    forward = F.filter(F.sequence(at, n - 1), lambda h: total(at, h) >= budget)
-    hi = F.coalesce(F.get(forward, F.lit(0)), n - 1)
-    backward = F.filter(F.sequence(at, F.lit(0), F.lit(-1)), lambda lo: total(lo, n - 1) >= budget)
-    lo = F.when(F.size(forward) > 0, at).otherwise(F.coalesce(F.get(backward, F.lit(0)), F.lit(0)))
-    return F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    def ahead(f: Column) -> Column:
+        back = reach(F.reverse(F.slice(sizes, F.lit(1), at)), f["sum"])
+        lo = F.when(back["sum"] >= budget, at - back["k"]).otherwise(0)
+        found = (f["sum"] >= budget) & (f["k"] > 0)
+        return F.struct(F.when(found, at).otherwise(lo).cast("int").alias("lo"), F.when(found, at + f["k"] - 1).otherwise(n - 1).cast("int").alias("hi"))
+
+    return X.let(reach(F.slice(sizes, at + 1, n), F.lit(0)), ahead)
 
 
 def expand_adjacent(chosen: DataFrame, units: DataFrame, budget: int | Column, place: str = "clause_pos") -> DataFrame:
     """chosen (qid, row_id, ...) with items (array of struct<row_id, clause_no, text, n_tok>), whole and expanded.
 
-    items are the neighbours of the unit in its article up to the budget of tokens.
+    items are the neighbours of the unit in its article up to the budget of tokens. Where chosen has doc_id and article_pos, these
+    say where a unit stands.
     """
     item = F.struct(F.col(place).alias("place"), "row_id", "clause_no", "text", X.token_count(F.col("text")).alias("n_tok"))
     articles = units.groupBy("doc_id", "article_pos").agg(F.array_sort(F.collect_list(item)).alias("all"))
-    at = units.select("row_id", "doc_id", "article_pos")
-    rows = chosen.join(at.select("row_id", F.col("doc_id").alias("__d"), F.col("article_pos").alias("__a")), "row_id")
+    rows = chosen.withColumn("__d", F.col("doc_id")).withColumn("__a", F.col("article_pos")) if {"doc_id", "article_pos"} <= set(chosen.columns) else chosen.join(
+        units.select("row_id", F.col("doc_id").alias("__d"), F.col("article_pos").alias("__a")), "row_id"
+    )
     rows = rows.join(articles.select(F.col("doc_id").alias("__d"), F.col("article_pos").alias("__a"), "all"), ["__d", "__a"])
     limit = F.lit(budget) if isinstance(budget, int) else budget
     index = (F.array_position(F.transform("all", lambda x: x["row_id"]), F.col("row_id")) - 1).cast("int")

@@ -135,16 +135,19 @@ def units(parsed: DataFrame, key: str = "doc_id") -> DataFrame:
     A clause is a unit; so is an article without clauses. row_id is a string of document, article and clause position: unique
     and in canonical order within a document, whereas a unit_id may come more than once.
     """
-    a = parsed.select(F.col(key).cast("string").alias("doc_id"), "parse_status", F.posexplode("articles").alias("article_pos", "a"))
-    c = a.select("*", F.posexplode_outer("a.clauses").alias("clause_pos", "c"))
-    single = F.col("c").isNull()
+    # Rows come from ``inline``: fields taken from an exploded struct would make the optimiser parse once a field.
+    article = lambda x, i: F.struct(i.alias("article_pos"), *[x[c].alias(c) for c in ("article_id", "article_no", "title", "text", "char_start", "clauses")])
+    clause = lambda x, i: F.struct(i.alias("clause_pos"), *[x[c].alias(f"c_{c}") for c in ("clause_id", "clause_no", "text", "char_start")])
+    a = parsed.select(F.col(key).cast("string").alias("doc_id"), "parse_status", F.inline(F.transform("articles", article)))
+    c = a.select("*", F.inline_outer(F.transform("clauses", clause)))
+    single = F.col("c_clause_id").isNull()
     kind = F.when(~single, "clause").when(F.col("parse_status") == "fallback", "doc_fallback").otherwise("article_fallback")
+    place = F.coalesce("clause_pos", F.lit(0))
     return c.select(
-        F.concat_ws(":", "doc_id", F.lpad(F.col("article_pos").cast("string"), 6, "0"), F.lpad(F.coalesce("clause_pos", F.lit(0)).cast("string"), 6, "0")).alias("row_id"),
-        "doc_id", F.col("a.article_id").alias("article_id"), F.when(single, F.col("a.article_id")).otherwise(F.col("c.clause_id")).alias("unit_id"), kind.alias("unit_type"),
-        "article_pos", F.coalesce("clause_pos", F.lit(0)).alias("clause_pos"), F.col("a.article_no").alias("article_no"), F.col("a.title").alias("title"),
-        F.coalesce("c.clause_no", F.lit("")).alias("clause_no"), F.when(single, F.col("a.text")).otherwise(F.col("c.text")).alias("text"),
-        F.when(single, F.col("a.char_start")).otherwise(F.col("c.char_start")).alias("char_start"), F.col("a.text").alias("article_text"),
+        F.concat_ws(":", "doc_id", F.lpad(F.col("article_pos").cast("string"), 6, "0"), F.lpad(place.cast("string"), 6, "0")).alias("row_id"),
+        "doc_id", "article_id", F.coalesce("c_clause_id", "article_id").alias("unit_id"), kind.alias("unit_type"), "article_pos", place.alias("clause_pos"), "article_no", "title",
+        F.coalesce("c_clause_no", F.lit("")).alias("clause_no"), F.when(single, F.col("text")).otherwise(F.col("c_text")).alias("text"),
+        F.when(single, F.col("char_start")).otherwise(F.col("c_char_start")).alias("char_start"), F.col("text").alias("article_text"),
     )
 
 

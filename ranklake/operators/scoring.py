@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ranklake.functions.shipping import ship
+
 
 def meteor(reference: list[str], candidate: list[str], alpha: float = 0.9, beta: float = 3.0, gamma: float = 0.5) -> float:
     """Unigrams are matched from the end, each to the last free equal one; chunks are runs adjacent in both."""
@@ -53,6 +55,8 @@ def rouge_l(reference: str, candidate: str, ascii_only: bool = True) -> float:
 
 
 def meteor_column(reference: Column, candidate: Column) -> Column:
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def udf(r: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([meteor((x or "").split(), (y or "").split()) for x, y in zip(r, c, strict=True)])
@@ -61,6 +65,8 @@ def meteor_column(reference: Column, candidate: Column) -> Column:
 
 
 def rouge_column(reference: Column, candidate: Column, ascii_only: bool = True) -> Column:
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def udf(r: pd.Series, c: pd.Series) -> pd.Series:
         return pd.Series([rouge_l(x or "", y or "", ascii_only) for x, y in zip(r, c, strict=True)])

@@ -59,7 +59,7 @@ def legal_units(spark, sf):
 
 def legal_expanded(spark, sf, budget):
     u = legal_units(spark, sf)
-    chosen = u.where("unit_type = 'clause'").select("row_id", "doc_id", "unit_id", "article_no", "title", "article_text")
+    chosen = u.where("unit_type = 'clause'").select("row_id", "doc_id", "article_pos", "unit_id", "article_no", "title", "article_text")
     return pack.expand_adjacent(chosen, u, budget)
 
 

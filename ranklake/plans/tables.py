@@ -32,7 +32,7 @@ def sents(c: str) -> str:
 
 
 BM25_SQL = f"""
-w AS (SELECT doc_id, {toks("lower(substr(text, 1, 50000))")} AS w FROM documents),
+w AS (SELECT doc_id, {toks("lower(text)")} AS w FROM documents),
 dl AS (SELECT doc_id, len(w) AS dl FROM w),
 p AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) GROUP BY ALL),
 c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),

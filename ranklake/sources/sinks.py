@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +41,36 @@ def save_index(index: dict[str, DataFrame], path: str, replace: bool = False) ->
         write_table(laid, f"{path}/{name}", replace)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset and all runs on this machine."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="ranklake-")
+    path = f"{root.rstrip('/')}/ranklake-{uuid.uuid4().hex}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the application may be gone already
+        if spark.sparkContext._jsc is not None:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def saved_index(spark: SparkSession, docs: DataFrame, path: str, key: str = "doc_id") -> dict[str, DataFrame]:
+    """An index over docs, written to ``path`` and read back: texts are read once a table, terms' statistics from the postings."""
+    from ranklake.operators import bm25
+
+    save_index({n: t for n, t in bm25.build_index(docs, key).items() if n in ("postings", "doc_stats")}, path)
+    held = load_index(spark, path, ("postings", "doc_stats"))
+    save_index(bm25.statistics(held["postings"], held["doc_stats"]), path)
+    return load_index(spark, path)
+
+
 def load_index(spark: SparkSession, path: str, names: tuple[str, ...] = ("postings", "doc_stats", "term_stats", "corpus_stats")) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
