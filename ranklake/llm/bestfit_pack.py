@@ -36,7 +36,7 @@ from ranklake.llm.common import hold, materialize, ship, text_or_empty
 #: kept. A table half full takes a word up when it is met again, which a byte at its hash among SEEN tells.
 WORDS, LONGEST, SEEN = 300_000, 48, 1 << 22
 #: Pieces of one length are ranked in groups: of this many rows at least, and no more groups than that over all lengths.
-GROUP_ROWS, GROUPS = 4096, 65_536
+GROUP_ROWS, GROUPS = 512, 65_536
 #: Marks that may end a word of letters and then are one token group of their own; an apostrophe may start a contraction.
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 

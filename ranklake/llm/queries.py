@@ -52,7 +52,7 @@ def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bestfit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bestfit_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, words=1_000_000)
+    return bestfit_pack.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), capacity=2048, words=2_500_000)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
