@@ -281,7 +281,7 @@ def postings(keyed: DataFrame, grams: list[str]) -> DataFrame:
 def candidates(index: DataFrame, asked: dict[int, list[list[str]]]) -> tuple[DataFrame, list[str]]:
     """(key, rules) of texts that satisfy the queries ``asked`` (by rule), and the rarest trigram of each conjunction.
 
-    Equal texts have one key, so a trigram may come to it more than once. Only counts by trigram reach the driver, and only
+    Only counts by trigram reach the driver, and only
     the queries are broadcast: both are as many as the rules ask for.
     """
     spark = index.sparkSession
@@ -316,7 +316,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, most: int = 2)
         return docs.withColumn(spans, F.array_sort(rest))
     hashes = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"))
     grams = sorted({g for q in asked.values() for c in q for g in c})
-    index, _ = materialize(postings(docs.select(hashes.alias("key"), text.alias("text")), grams).sortWithinPartitions("gram"), "trigrams")
+    index, _ = materialize(postings(docs.select(hashes.alias("key"), text.alias("text")), grams).distinct().sortWithinPartitions("gram"), "trigrams")
     met, rare = candidates(index, asked)
     found, _ = materialize(met.select(F.col("key").alias(key), F.col("rules").alias(named)), "candidates")
     every = F.array_sort(F.when(F.col(named).isNull(), rest).otherwise(F.concat(rest, spans_of_some(text, F.col(named), rules))))
