@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ranklake.llm.common import connected_components, materialize, ship
+from ranklake.llm.common import connected_components, hold, materialize, ship
 
 #: Vectors in a block of an inverted list.
 BLOCK = 1024
