@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -145,6 +148,16 @@ def set_f1(gold: Column, candidate: Column) -> Column:
     return F.when(n > 0, 2 * overlap(gold, candidate) / n).otherwise(F.lit(0.0))
 
 
+def set_precision(gold: Column, candidate: Column) -> Column:
+    """Share of the candidate's set that the gold set holds; 0 for an empty one."""
+    return F.when(F.size(candidate) > 0, overlap(gold, candidate) / F.size(candidate)).otherwise(F.lit(0.0))
+
+
+def set_recall(gold: Column, candidate: Column) -> Column:
+    """Share of the gold set that the candidate's set holds; 0 for an empty one."""
+    return set_precision(candidate, gold)
+
+
 def repeated_ngrams(words: Column, n: int = 4) -> Column:
     """1 - distinct / all n-grams; 0 where there is none."""
     def grams(w: Column) -> Column:
@@ -234,9 +247,6 @@ def first_integer(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode composition; an Arrow function, for the JVM has no such column function."""
-    import unicodedata
-
-    import pandas as pd
 
     @F.pandas_udf("string")
     def udf(s: pd.Series) -> pd.Series:

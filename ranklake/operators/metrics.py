@@ -59,21 +59,30 @@ def evaluate(run: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10
     return stats.groupBy("k").agg(F.count(F.lit(1)).alias("n_queries"), *[F.round(m, digits).alias(n) for n, m in metrics.items()])
 
 
-def floor_percentiles(values: DataFrame, value: str = "value", ps: tuple[int, ...] = (50, 90, 95, 99), by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, n, p50, ...): the value at index min(n - 1, floor(n p / 100)) of the sorted ones.
+def values_at(values: DataFrame, value: str, positions: dict[str, Column], bins: int = 4096) -> DataFrame:
+    """One row (n, a column for each position): the values at these indices, from 0 on, of all sorted ones; n stands for their number.
 
-    Values are counted first, so what is gathered is bounded by the distinct values, and running counts give the positions.
+    Values are counted, counts are summed by ``bins`` equal ranges, and only ranges that hold a wanted index are ordered: each in a
+    task of its own, none with all values.
     """
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("c"))
-    total = F.sum("c").over(W.partitionBy(*by)) if by else None
-    if by:
-        running = counts.withColumn("n", total).withColumn("upto", F.sum("c").over(W.partitionBy(*by).orderBy(value)))
-    else:
-        n = counts.agg(F.sum("c").alias("n"))
-        running = counts.crossJoin(F.broadcast(n)).withColumn("upto", F.sum("c").over(W.orderBy(value)))
-    at = {p: F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)) for p in ps}
-    picked = [F.min(F.when(F.col("upto") > at[p], F.col(value))).alias(f"p{p}") for p in ps]
-    return running.groupBy(*by).agg(F.max("n").alias("n"), *picked)
+    counts = values.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    ends = counts.agg(F.min("v").alias("least"), F.max("v").alias("largest"), F.sum("c").alias("n"))
+    width = (F.col("largest") - F.col("least")).cast("double")
+    part = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("least")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0))
+    placed = counts.crossJoin(F.broadcast(ends)).select("v", "c", "n", part.cast("int").alias("bin"))
+    sums = placed.groupBy("bin").agg(F.sum("c").alias("s"), F.max("n").alias("n"))  # ``bins`` rows at most
+    upto = sums.withColumn("before", F.sum("s").over(W.orderBy("bin")) - F.col("s"))
+    holds = F.lit(False)
+    for at in positions.values():
+        holds |= (at >= F.col("before")) & (at < F.col("before") + F.col("s"))
+    wanted = upto.where(holds).select("bin", "before")
+    rows = placed.join(F.broadcast(wanted), "bin").withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("bin").orderBy("v")))
+    return rows.agg(F.max("n").alias("n"), *[F.min(F.when(F.col("upto") > at, F.col("v"))).alias(name) for name, at in positions.items()])
+
+
+def floor_percentiles(values: DataFrame, value: str = "value", ps: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """(n, p50, ...): the value at index min(n - 1, floor(n p / 100)) of the sorted ones."""
+    return values_at(values, value, {f"p{p}": F.least(F.col("n") - 1, F.floor(F.col("n") * p / 100)) for p in ps})
 
 
 def length_stats(texts: DataFrame, size: Column, low: int, high: int) -> DataFrame:

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from ranklake.plans import answering, evaluation, packing, retrieval, texts  # noqa: F401  they register themselves
+    from ranklake.plans import answering, audits, evaluation, packing, retrieval, texts  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -120,10 +120,12 @@ def repeated_ngrams(spark, sf):
     return documents(spark, sf).select("doc_id", F.round(X.repeated_ngrams(X.tokens(F.lower("text")), 4), 6).alias("ratio"))
 
 
-@query("same_question", "SELECT a.doc_id AS qid_a, b.doc_id AS qid_b FROM documents a JOIN documents b ON trim(a.text, ' ' || chr(10)) = trim(b.text, ' ' || chr(10)) AND a.lang = 'fr' AND b.lang = 'fr'")
+@query("same_question", "SELECT doc_id AS qid_a, min(doc_id) OVER (PARTITION BY trim(text, ' ' || chr(10))) AS qid_b FROM documents WHERE text IS NOT NULL")
 def same_question(spark, sf):
-    d = documents(spark, sf).where("lang = 'fr'").select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
-    return lookup.same_question(d, d)
+    """All documents against one of each class of equal texts: a pair a document, however large the class."""
+    d = documents(spark, sf).select(F.col("doc_id").alias("qid"), F.col("text").alias("question"))
+    first = d.groupBy(X.strip(F.col("question")).alias("question")).agg(F.min("qid").alias("qid"))
+    return lookup.same_question(d, first)
 
 
 @query("question_classes", "SELECT doc_id AS qid, min(doc_id) OVER w AS class_id, count(*) OVER w AS n FROM documents WHERE text IS NOT NULL WINDOW w AS (PARTITION BY trim(text, ' ' || chr(10)))")

@@ -81,7 +81,7 @@ def fingerprint(df: DataFrame, *columns: str) -> Column | DataFrame:
     The sums of the four quarters of each row's SHA-256 are hashed.
     """
     row = F.sha2(F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (columns or df.columns)]), 256)
-    quarters = [F.sum(F.conv(F.substring(row, 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)")).alias(f"q{k}") for k in range(4)]
+    quarters = [F.sum(F.conv(F.substring(row, 1 + 16 * k, 16), 16, 10).cast("decimal(38,0)")).alias(f"q{k}") for k in range(4)]
     parts = [F.coalesce(F.col(f"q{k}").cast("string"), F.lit("0")) for k in range(4)]
     return df.agg(F.count(F.lit(1)).alias("n"), *quarters).select("n", F.sha2(F.concat_ws("|", F.col("n").cast("string"), *parts), 256).alias("identity"))
 
