@@ -15,7 +15,8 @@ from ranklake.plans.tables import documents, questions, table, toks
 def written(spark, sf):
     """(doc_id, answer): documents as answers: the first line, a quotation, and a last line that a marker opens."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    d = documents(spark, sf).select("doc_id", F.transform(lines, F.trim).alias("l")).where(F.size("l") >= 3)
+    # Not ``F.trim`` itself: that takes the element's index for the characters to trim.
+    d = documents(spark, sf).select("doc_id", F.transform(lines, lambda x: F.trim(x)).alias("l")).where(F.size("l") >= 3)
     n = F.size("l")
     return d.select("doc_id", F.concat_ws("\n", F.lit("Căn cứ Điều 5 Luật Mẫu 2020:"), F.array_join(F.slice("l", 1, n - 1), "\n"), F.concat(F.lit("Theo đó, "), F.element_at("l", -1))).alias("answer"))
 
