@@ -10,7 +10,7 @@ from ranklake.plans.evaluation import turns
 from ranklake.plans.packing import CAND_SQL, candidates, legal_units
 from ranklake.plans.registry import query
 from ranklake.plans.retrieval import RUNS_SQL, index, two_runs
-from ranklake.plans.tables import LEGAL_SQL, documents, legal, questions, table, toks
+from ranklake.plans.tables import LEGAL_SQL, documents, parsed_legal, questions, table, toks
 
 
 def shared_ids(spark, sf):
@@ -90,7 +90,7 @@ SELECT count(*) AS n, round(avg(clause), 6) AS mean_clause, round(avg(article),
 def chunking_ceiling(spark, sf):
     a, _ = two_runs(spark, sf)
     hits = a.where("rank <= 5").select("qid", F.col("doc_id").cast("string").alias("doc_id"))
-    parsed = parse.parse(legal(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string")))
+    parsed = parsed_legal(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     return audit.chunking_ceiling(audit.best_coverages(questions(spark, sf), hits, parsed, "question"))
 
 
@@ -108,7 +108,7 @@ def aligned_ceiling(spark, sf):
 def label_answers(spark, sf):
     """Each passage as an answer: parts, search, units, prefilter and alignment in a row. Alignment isn't SQL."""
     rows = questions(spark, sf).withColumnRenamed("question", "answer")
-    return labelling.label_answers(rows, index(spark, sf), parse.parse(legal(spark, sf)))
+    return labelling.label_answers(rows, index(spark, sf), parsed_legal(spark, sf))
 
 
 @query(
@@ -171,7 +171,7 @@ CASE WHEN unit_type = 'clause' THEN 'clause' ELSE 'article_fallback' END AS kind
 )
 def online_items(spark, sf):
     """The first unit of each article, with the article's text."""
-    parsed = parse.parse(legal(spark, sf))
+    parsed = parsed_legal(spark, sf)
     first = parse.units(parsed).where("clause_pos = 0").select(F.lit(1).alias("qid"), "doc_id", "unit_id", F.lit(1.0).alias("score"))
     docs = documents(spark, sf).select("doc_id", F.format_string("Nghị định %d/2017/NĐ-CP", F.col("doc_id") % 90 + 1).alias("name"), F.lit("").alias("link"))
     return labelling.online_items(first, parsed, docs, expand=True).select("doc_id", "unit_id", "kind", F.md5("text").alias("digest"), F.array_join("covered", ",").alias("covered"), "name", "document_number")
@@ -282,16 +282,23 @@ def scored_submission(spark, sf):
     return scoring.score_submission(t.select("id", F.col("question").alias("answer")), t.select("id", "answer"))
 
 
+def _number(id):
+    """A document's number, one for each id: a citation's first part has four digits at most, its last any."""
+    id = id.cast("decimal(20,0)")
+    first, last = F.abs(id) % 10_000, F.floor(F.abs(id) / 10_000) + 1
+    return F.concat(first.cast("decimal(4,0)").cast("string"), F.when(id < 0, "/2019/QH").otherwise("/2020/QH"), last.cast("decimal(20,0)").cast("string"))
+
+
 @query(
     "followed_numbers",
     """WITH n AS (SELECT doc_id, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) AS n FROM documents), h AS (SELECT n.doc_id AS qid, coalesce(m.doc_id, n.doc_id) AS to_doc FROM n LEFT JOIN n m ON m.doc_id = n.doc_id + 1 AND n.doc_id % 2 = 0)
 SELECT qid, CAST(to_doc AS VARCHAR) AS doc_id, to_doc || '_1' AS article_id FROM h JOIN n ON n.doc_id = to_doc WHERE n.n > 0""",
 )
 def followed_numbers(spark, sf):
-    """Texts of even documents cite the next document's first article by its number, others their own."""
+    """Texts of even documents cite the next document's first article by its number, others and those without a next one their own."""
     d = documents(spark, sf)
-    number = lambda c: F.concat(c.cast("string"), F.lit("/2020/QH1"))
-    numbers = d.select(number(F.col("doc_id")).alias("number"), F.array(F.col("doc_id")).alias("doc_ids"), F.lit(True).alias("usable")).where("length(number) <= 13")
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("theo Điều 1 Luật số "), number(F.col("doc_id") + 1))).otherwise("theo Điều 1 của Luật này")
-    hits = d.select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), "doc_id", text.alias("text"))
+    before = d.select((F.col("doc_id") - 1).alias("doc_id"), F.lit(True).alias("has_next")).distinct()
+    numbers = d.select(_number(F.col("doc_id")).alias("number"), F.array(F.col("doc_id")).alias("doc_ids"), F.lit(True).alias("usable"))
+    text = F.when((F.col("doc_id") % 2 == 0) & F.col("has_next"), F.concat(F.lit("theo Điều 1 Luật số "), _number(F.col("doc_id") + 1))).otherwise("theo Điều 1 của Luật này")
+    hits = d.join(before, "doc_id", "left").select(F.col("doc_id").alias("qid"), F.lit(1).alias("rank"), "doc_id", text.alias("text"))
     return lookup.followed(hits, legal_units(spark, sf), numbers).select("qid", "doc_id", "article_id")

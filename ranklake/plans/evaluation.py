@@ -8,7 +8,7 @@ from ranklake.functions import text as X
 from ranklake.operators import fuse, lookup, metrics, parse, scoring
 from ranklake.plans.registry import query
 from ranklake.plans.retrieval import DENSE_SQL, RUNS_SQL, dense_run, dense_vectors, dense_queries, two_runs
-from ranklake.plans.tables import GOLD_SQL, LEGAL_SQL, documents, gold, legal, questions, table, toks
+from ranklake.plans.tables import GOLD_SQL, LEGAL_SQL, documents, gold, parsed_legal, questions, table, toks
 
 STATS_SQL = f"""{RUNS_SQL}, {GOLD_SQL},
 st AS (SELECT qid, list_sort(list(rank) FILTER (WHERE rank IS NOT NULL)) AS ranks, count(*) AS n_gold FROM gold LEFT JOIN a USING (qid, doc_id) GROUP BY qid)"""
@@ -178,7 +178,7 @@ def hits_histogram(spark, sf):
 
 @query("cutoff_loss", f"WITH {LEGAL_SQL}, o AS (SELECT ln.doc_id, i, length('Điều ' || (i // 3 + 1) || '. ' || x) AS head, length((i % 3) || '. ' || x) AS item, x FROM ln), s AS (SELECT *, coalesce(sum(CASE WHEN i % 3 = 0 THEN head ELSE item END + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos0, count(*) OVER (PARTITION BY doc_id, i // 3) AS m FROM o), u AS (SELECT CASE WHEN i % 3 = 0 THEN pos0 + head - length(x) ELSE pos0 + item - length(x) END AS start FROM s WHERE i % 3 > 0 OR m = 1) SELECT count(*) AS n, count_if(start >= 2000) AS beyond, round(avg(CASE WHEN start >= 2000 THEN 1 ELSE 0 END), 6) AS share FROM u")
 def cutoff_loss(spark, sf):
-    return metrics.cutoff_loss(parse.units(parse.parse(legal(spark, sf))), 2000)
+    return metrics.cutoff_loss(parse.units(parsed_legal(spark, sf)), 2000)
 
 
 @query("context_holds_gold", f"{RUNS_SQL}, {GOLD_SQL} SELECT count(*) AS n, count_if(contains(coalesce(text, ''), s)) AS hits, round(avg(CASE WHEN contains(coalesce(text, ''), s) THEN 1 ELSE 0 END), 6) AS rate FROM a JOIN ql USING (qid) JOIN documents USING (doc_id) WHERE rank <= 5")

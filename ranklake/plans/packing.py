@@ -9,7 +9,7 @@ from ranklake.operators import align, lookup, pack, parse
 from ranklake.plans import registry
 from ranklake.plans.registry import query
 from ranklake.plans.retrieval import RUNS_SQL, two_runs
-from ranklake.plans.tables import LEGAL_SQL, documents, gold, legal, questions, toks
+from ranklake.plans.tables import LEGAL_SQL, documents, gold, parsed_legal, questions, toks
 
 
 def candidates(spark, sf, k=10):
@@ -54,7 +54,7 @@ def coverage_and_f1(spark, sf):
 
 
 def legal_units(spark, sf):
-    return parse.units(parse.parse(legal(spark, sf)))
+    return parse.units(parsed_legal(spark, sf))
 
 
 def legal_expanded(spark, sf, budget):

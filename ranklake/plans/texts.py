@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ranklake.functions import text as X
 from ranklake.operators import lookup, metrics, parse
 from ranklake.plans.registry import query
-from ranklake.plans.tables import LEGAL_SQL, documents, legal, questions, sents, table, toks
+from ranklake.plans.tables import LEGAL_SQL, documents, parsed_legal, questions, sents, table, toks
 
 
 @query("name_from_link", "SELECT page_id, CASE WHEN n = '' THEN 'unknown' ELSE n END AS name FROM (SELECT page_id, regexp_replace(string_split(regexp_replace(coalesce(url, ''), '/+$', ''), '/')[-1], '\\.aspx$', '') AS n FROM pages)")
@@ -61,21 +61,21 @@ def duplicate_unit_audit(spark, sf):
 
 @query("parse_legal", f"WITH {LEGAL_SQL} SELECT doc_id, count(*) AS n_articles, CAST(sum(n) AS BIGINT) AS n_clauses, md5(string_agg(title, '|' ORDER BY a)) AS titles FROM la GROUP BY doc_id")
 def parse_legal(spark, sf):
-    p = parse.parse(legal(spark, sf))
+    p = parsed_legal(spark, sf)
     clauses = F.aggregate("articles", F.lit(0).cast("long"), lambda n, a: n + F.size(a["clauses"]))
     return p.where(F.size("articles") > 0).select("doc_id", F.size("articles").cast("long").alias("n_articles"), clauses.alias("n_clauses"), F.md5(F.array_join("articles.title", "|")).alias("titles"))
 
 
 @query("legal_units", f"WITH {LEGAL_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(article_pos AS INTEGER) AS article_pos, CAST(clause_pos AS INTEGER) AS clause_pos, unit_id, unit_type, clause_no, md5(text) AS text_digest, md5(title) AS title_digest, md5(article_text) AS article_digest FROM lu")
 def legal_units(spark, sf):
-    u = parse.units(parse.parse(legal(spark, sf)))
+    u = parse.units(parsed_legal(spark, sf))
     return u.select("doc_id", "article_pos", "clause_pos", "unit_id", "unit_type", "clause_no", F.md5("text").alias("text_digest"), F.md5("title").alias("title_digest"), F.md5("article_text").alias("article_digest"))
 
 
 @query("unit_offsets", f"WITH {LEGAL_SQL} SELECT CAST(sum(n) + count_if(n = 0) AS BIGINT) AS n, CAST(sum(n) + count_if(n = 0) AS BIGINT) AS exact FROM la")
 def unit_offsets(spark, sf):
     """Units whose offsets cut their own text out of the main text: all of them."""
-    p = parse.parse(legal(spark, sf))
+    p = parsed_legal(spark, sf)
     u = parse.units(p).join(p.select(F.col("doc_id").cast("string").alias("doc_id"), "main_text"), "doc_id")
     exact = F.substring(F.col("main_text"), F.col("char_start") + 1, F.length("text")) == F.col("text")
     return u.agg(F.count(F.lit(1)).alias("n"), F.count_if(exact).alias("exact"))
@@ -83,13 +83,13 @@ def unit_offsets(spark, sf):
 
 @query("unit_with_title", f"WITH {LEGAL_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, unit_id, md5(CASE WHEN title <> article_text THEN title || chr(10) || text ELSE text END) AS digest FROM lu")
 def unit_with_title(spark, sf):
-    u = parse.units(parse.parse(legal(spark, sf)))
+    u = parse.units(parsed_legal(spark, sf))
     return u.select("doc_id", "unit_id", F.md5(parse.with_title(F.col("text"), F.col("title"), F.col("article_text"))).alias("digest"))
 
 
 @query("unit_ids", f"WITH {LEGAL_SQL} SELECT unit_type AS kind, CASE WHEN unit_type = 'clause' THEN regexp_replace(unit_id, '_[^_]*$', '') ELSE unit_id END AS article_id, count(*) AS n FROM lu GROUP BY ALL")
 def unit_ids(spark, sf):
-    u = parse.units(parse.parse(legal(spark, sf)))
+    u = parse.units(parsed_legal(spark, sf))
     return u.groupBy(parse.unit_kind(F.col("unit_id")).alias("kind"), parse.article_of(F.col("unit_id")).alias("article_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
