@@ -18,7 +18,7 @@ def expand(hits: DataFrame, units: DataFrame) -> DataFrame:
 
 def with_text(ranked: DataFrame, units: DataFrame, key: str = "row_id", legacy_fallback: bool = False) -> DataFrame:
     """Texts for units that survived. An unknown id has none; with legacy_fallback it has its document's first article's."""
-    texts = units.select(key, "text").dropDuplicates([key])
+    texts = units.select(key, "text").join(ranked.select(key).distinct(), key, "left_semi").dropDuplicates([key])
     out = ranked.join(texts, key, "left")
     if not legacy_fallback:
         return out

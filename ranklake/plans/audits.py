@@ -9,7 +9,7 @@ from ranklake.operators import align, answers, audit, labelling, lookup, metrics
 from ranklake.plans.evaluation import turns
 from ranklake.plans.packing import CAND_SQL, candidates, legal_units
 from ranklake.plans.registry import query
-from ranklake.plans.retrieval import RUNS_SQL, index, two_runs
+from ranklake.plans.retrieval import RUNS_SQL, first_run, index
 from ranklake.plans.tables import LEGAL_SQL, documents, parsed_legal, questions, table, toks
 
 
@@ -56,7 +56,7 @@ def most_repeated_ids(spark, sf):
 def _basket(spark, sf):
     """The run with ids that some documents share, and those ids."""
     id = F.when(F.col("doc_id") % 2 == 0, F.floor(F.col("doc_id") / 8).cast("string")).otherwise(F.concat(F.lit("o"), F.col("doc_id").cast("string")))
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     dup = documents(spark, sf).select(id.alias("unit_id")).groupBy("unit_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return a.withColumn("unit_id", id), dup
 
@@ -88,7 +88,7 @@ SELECT count(*) AS n, round(avg(clause), 6) AS mean_clause, round(avg(article),
     + ", ".join(f"count_if({c} >= {v / 100}) AS {c}_{v}" for v in (80, 90, 95) for c in ("clause", "article")) + " FROM cd",
 )
 def chunking_ceiling(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     hits = a.where("rank <= 5").select("qid", F.col("doc_id").cast("string").alias("doc_id"))
     parsed = parsed_legal(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
     return audit.chunking_ceiling(audit.best_coverages(questions(spark, sf), hits, parsed, "question"))

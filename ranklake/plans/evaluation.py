@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ranklake.functions import text as X
 from ranklake.operators import fuse, lookup, metrics, parse, scoring
 from ranklake.plans.registry import query
-from ranklake.plans.retrieval import DENSE_SQL, RUNS_SQL, dense_run, dense_vectors, dense_queries, two_runs
+from ranklake.plans.retrieval import DENSE_SQL, RUNS_SQL, dense_run, dense_vectors, dense_queries, first_run, two_runs
 from ranklake.plans.tables import GOLD_SQL, LEGAL_SQL, documents, gold, parsed_legal, questions, table, toks
 
 STATS_SQL = f"""{RUNS_SQL}, {GOLD_SQL},
@@ -15,7 +15,7 @@ st AS (SELECT qid, list_sort(list(rank) FILTER (WHERE rank IS NOT NULL)) AS rank
 
 
 def _run_and_gold(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     return a, gold(spark, sf)
 
 
@@ -165,14 +165,14 @@ def loser_groups(spark, sf):
 
 @query("oracle_ceiling", f"{RUNS_SQL}, v AS (SELECT qid, rank, CAST(len({toks('text')}) AS DOUBLE) AS v FROM a JOIN documents USING (doc_id) WHERE rank <= 10), w2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY v DESC, rank) AS b FROM v) SELECT qid, sum(CASE WHEN rank <= 2 THEN v ELSE 0 END) AS first_value, sum(CASE WHEN b <= 2 THEN v ELSE 0 END) AS best_value FROM w2 GROUP BY qid")
 def oracle_ceiling(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     v = a.join(documents(spark, sf).select("doc_id", X.token_count(F.col("text")).cast("double").alias("value")), "doc_id")
     return metrics.oracle_ceiling(v)
 
 
 @query("hits_histogram", f"{RUNS_SQL}, h AS (SELECT doc_id, count(*) AS size FROM a GROUP BY 1) SELECT size, count(*) AS n FROM h GROUP BY 1")
 def hits_histogram(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     return metrics.histogram(a, "doc_id")
 
 
@@ -183,7 +183,7 @@ def cutoff_loss(spark, sf):
 
 @query("context_holds_gold", f"{RUNS_SQL}, {GOLD_SQL} SELECT count(*) AS n, count_if(contains(coalesce(text, ''), s)) AS hits, round(avg(CASE WHEN contains(coalesce(text, ''), s) THEN 1 ELSE 0 END), 6) AS rate FROM a JOIN ql USING (qid) JOIN documents USING (doc_id) WHERE rank <= 5")
 def context_holds_gold(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     longest = X.longest(X.sentences(F.col("question")))
     q = questions(spark, sf).select("qid", longest.alias("gold"))
     rows = a.where("rank <= 5").join(q, "qid").join(documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("context")), "doc_id")

@@ -8,13 +8,13 @@ from ranklake.functions import text as X
 from ranklake.operators import align, lookup, pack, parse
 from ranklake.plans import registry
 from ranklake.plans.registry import query
-from ranklake.plans.retrieval import RUNS_SQL, two_runs
+from ranklake.plans.retrieval import RUNS_SQL, first_run
 from ranklake.plans.tables import LEGAL_SQL, documents, gold, parsed_legal, questions, toks
 
 
 def candidates(spark, sf, k=10):
     """(qid, question, rank, unit_id, text): the best documents of each passage."""
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     d = documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text"))
     return a.where(F.col("rank") <= k).join(d, "doc_id").join(questions(spark, sf), "qid")
 
@@ -205,7 +205,7 @@ def follow_citations(spark, sf):
 
 @query("late_text", f"{RUNS_SQL} SELECT qid, doc_id, md5(coalesce(text, '')) AS digest FROM a JOIN documents USING (doc_id)")
 def late_text(spark, sf):
-    a, _ = two_runs(spark, sf)
+    a = first_run(spark, sf)
     d = documents(spark, sf).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return lookup.with_text(a, d, key="doc_id").select("qid", "doc_id", F.md5("text").alias("digest"))
 

@@ -129,3 +129,31 @@ def test_resumable_batches(spark, tmp_path):
     for _ in range(2):
         resumable(spark, src, "id long", lambda df: df.selectExpr("id * 2 as x"), out, state, 1).awaitTermination()
         assert sorted(r["x"] for r in spark.read.parquet(out).collect()) == [0, 2, 4]
+
+
+def test_search_takes_one_pass_over_documents(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(11)
+    docs = [(f"d{i:03}", " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 7)))) for i in range(150)] + [("e", None)]
+    queries = [(n, " ".join(rng.choice("abcxyz") for _ in range(4))) for n in range(9)]
+    # Small bounds: several blocks of queries, a few documents at a time, many cuts.
+    monkeypatch.setattr(bm25, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(bm25, "CELLS", 16)
+    index = bm25.build_index(spark.createDataFrame(docs, "doc_id string, text string"))
+    found = bm25.search(index, spark.createDataFrame(queries, "qid long, question string"), 5)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # the lists are found already
+    words = {d: Counter((t or "").split()) for d, t in docs}
+    df = Counter(w for c in words.values() for w in c)
+    idf = {w: math.log(len(docs) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
+    mean = sum(idf.values()) / len(idf)
+    idf = {w: x if x >= 0 else 0.25 * mean for w, x in idf.items()}
+    avgdl = sum(sum(c.values()) for c in words.values()) / len(docs)
+    want = set()
+    for q, text in queries:
+        terms = Counter(text.split())
+        scored = [(-round(sum(m * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avgdl)) for w, m in terms.items() if w in c), 9), d) for d, c in words.items() if terms.keys() & c.keys()]
+        want |= {(q, d, n, round(-s, 6)) for n, (s, d) in enumerate(sorted(scored)[:5], 1)}
+    assert {(r["qid"], r["doc_id"], r["rank"], round(r["score"], 6)) for r in found.collect()} == want
