@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ranklake.functions import text as X
 from ranklake.operators import align, bm25, pack, parse
 
 KEY = "part_id"
+#: Parsed documents, or what parses those whose ids (doc_id, a string) it is given.
+Parsed = DataFrame | Callable[[DataFrame], DataFrame]
 
 
 def quoted_parts(answers: DataFrame) -> DataFrame:
@@ -18,15 +22,17 @@ def quoted_parts(answers: DataFrame) -> DataFrame:
     return rows.where(X.token_count(F.col("part")) >= align.QUOTE_WORDS).select(id.alias(KEY), "qid", "part_no", "role", "part")
 
 
-def unit_candidates(parts: DataFrame, index: dict[str, DataFrame], parsed: DataFrame, k_docs: int = 20, n_units: int = 20, unit_index: dict[str, DataFrame] | None = None) -> DataFrame:
+def unit_candidates(parts: DataFrame, index: dict[str, DataFrame], parsed: Parsed, k_docs: int = 20, n_units: int = 20, unit_index: dict[str, DataFrame] | None = None) -> DataFrame:
     """Units (part_id, ..., rank, unit_id, text) that each part is aligned to.
 
     The k_docs best documents are searched with the part and its sentences, and taken apart into units in order; of these the
     n_units that share most tokens with the part stay. With an index of units these are ranked by it, and the ranks are trusted.
     """
     asked = parts.select(F.col(KEY).alias("qid"), F.col("part").alias("question"))
-    hits = bm25.search_variants(index, asked, k_docs).select("qid", F.col("doc_id").cast("string").alias("doc_id"), F.col("rank").alias("doc_rank"))
-    wanted = parsed.withColumn("doc_id", F.col("doc_id").cast("string")).join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
+    spark = parts.sparkSession
+    hits = bm25.kept(spark, bm25.search_variants(index, asked, k_docs).select("qid", F.col("doc_id").cast("string").alias("doc_id"), F.col("rank").alias("doc_rank")))
+    ids = bm25.kept(spark, hits.select("doc_id").distinct())
+    wanted = parsed(ids) if callable(parsed) else parsed.withColumn("doc_id", F.col("doc_id").cast("string")).join(ids, "doc_id", "left_semi")
     units = parse.units(wanted).select("doc_id", "row_id", "unit_id", "unit_type", "text", "article_text")
     rows = hits.join(units, "doc_id").join(asked, "qid")
     if unit_index is not None:
@@ -41,7 +47,7 @@ def _named(rows: DataFrame) -> DataFrame:
     return rows.drop("rank").withColumnsRenamed({"place": "rank", "qid": KEY, "question": "part"})
 
 
-def label_answers(answers: DataFrame, index: dict[str, DataFrame], parsed: DataFrame, emit: float = 0.3, trust: float = 0.6, **search) -> DataFrame:
+def label_answers(answers: DataFrame, index: dict[str, DataFrame], parsed: Parsed, emit: float = 0.3, trust: float = 0.6, **search) -> DataFrame:
     """(qid, part_no, role, doc_id, clause_id, unit_type, span, confidence, trusted): the unit each part of an answer quotes.
 
     A part labels the unit it aligns to best, the first of equals, from a score of ``emit``; clause_id is null for units that are whole

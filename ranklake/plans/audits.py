@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklake.functions import text as X
-from ranklake.operators import align, answers, audit, labelling, lookup, metrics, pack, parse, scoring
+from ranklake.operators import align, answers, audit, bm25, labelling, lookup, metrics, pack, parse, scoring
 from ranklake.plans.evaluation import turns
 from ranklake.plans.packing import CAND_SQL, candidates, legal_units
 from ranklake.plans.registry import query
@@ -90,17 +90,17 @@ SELECT count(*) AS n, round(avg(clause), 6) AS mean_clause, round(avg(article),
 def chunking_ceiling(spark, sf):
     a = first_run(spark, sf)
     hits = a.where("rank <= 5").select("qid", F.col("doc_id").cast("string").alias("doc_id"))
-    parsed = parsed_legal(spark, sf).withColumn("doc_id", F.col("doc_id").cast("string"))
+    parsed = parsed_legal(spark, sf, hits).withColumn("doc_id", F.col("doc_id").cast("string"))
     return audit.chunking_ceiling(audit.best_coverages(questions(spark, sf), hits, parsed, "question"))
 
 
 @query("aligned_ceiling")
 def aligned_ceiling(spark, sf):
     """The same by alignment, for the labelled part of each passage; alignment isn't SQL."""
-    labels = label_answers(spark, sf).where("clause_id is not null and trusted").select("qid", "part_no", F.col("clause_id").alias("unit_id"))
-    units = legal_units(spark, sf).join(labels.select("unit_id").distinct(), "unit_id", "left_semi").groupBy("unit_id").agg(F.min_by(F.struct("text", "article_text"), "row_id").alias("u"))
+    labels = bm25.kept(spark, label_answers(spark, sf).where("clause_id is not null and trusted").select("qid", "part_no", "doc_id", F.col("clause_id").alias("unit_id")))
+    units = parse.units(parsed_legal(spark, sf, labels)).join(labels.select("unit_id").distinct(), "unit_id", "left_semi").groupBy("unit_id").agg(F.min_by(F.struct("text", "article_text"), "row_id").alias("u"))
     parts = labelling.quoted_parts(questions(spark, sf).withColumnRenamed("question", "answer")).select("qid", "part_no", "part")
-    pairs = labels.join(units, "unit_id").join(parts, ["qid", "part_no"]).select("qid", "part", "u.text", "u.article_text")
+    pairs = labels.drop("doc_id").join(units, "unit_id").join(parts, ["qid", "part_no"]).select("qid", "part", "u.text", "u.article_text")
     return audit.chunking_ceiling(audit.aligned_scores(pairs), big=0.03, tiny=0.03)
 
 
@@ -108,7 +108,7 @@ def aligned_ceiling(spark, sf):
 def label_answers(spark, sf):
     """Each passage as an answer: parts, search, units, prefilter and alignment in a row. Alignment isn't SQL."""
     rows = questions(spark, sf).withColumnRenamed("question", "answer")
-    return labelling.label_answers(rows, index(spark, sf), parsed_legal(spark, sf))
+    return labelling.label_answers(rows, index(spark, sf), lambda ids: parsed_legal(spark, sf, ids))
 
 
 @query(

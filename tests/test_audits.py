@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ranklake.functions import text as X
 from ranklake.operators import answers, audit, bm25, labelling, metrics, parse, scoring
-from ranklake.plans import settings
+from ranklake.plans import settings, tables
 from ranklake.sources import readers, sinks
 
 
@@ -204,3 +204,23 @@ def test_files(spark, tmp_path):
 def test_identity_reads_every_digit(spark):
     rows = spark.createDataFrame([(k,) for k in range(50)], "x int")
     assert sinks.fingerprint(rows).first() == sinks.fingerprint(rows.repartition(7)).first() != sinks.fingerprint(rows.where("x < 49")).first()
+
+
+def test_only_wanted_documents_are_parsed(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    step = F.when(F.col("doc_id") == 2, F.raise_error(F.lit("was parsed"))).otherwise(F.col("text"))
+    rows = tables.only_of(docs, spark.createDataFrame([("1",), ("1",)], "doc_id string")).select("doc_id", step.alias("text"))
+    assert [tuple(r) for r in rows.collect()] == [(1, "a")]
+
+
+def test_label_answers_asks_for_the_documents_hit(spark):
+    a = spark.createDataFrame([(1, "Người lao động phải báo trước ba mươi ngày")], "qid int, answer string")
+    i = bm25.build_index(spark.createDataFrame([(7, LAW), (8, "chỉ có chữ"), (9, "một hai"), (10, "khác")], "doc_id int, text string"))
+    asked = []
+
+    def some(ids):
+        asked.extend(r["doc_id"] for r in ids.collect())
+        return parsed(spark).where(F.col("doc_id").cast("string").isin(asked))
+
+    got, want = labelling.label_answers(a, i, some).collect(), labelling.label_answers(a, i, parsed(spark)).collect()
+    assert got == want and "7" in asked and not {"9", "10"} & set(asked)
