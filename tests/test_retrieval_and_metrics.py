@@ -157,3 +157,11 @@ def test_search_takes_one_pass_over_documents(spark, monkeypatch):
         scored = [(-round(sum(m * idf[w] * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / avgdl)) for w, m in terms.items() if w in c), 9), d) for d, c in words.items() if terms.keys() & c.keys()]
         want |= {(q, d, n, round(-s, 6)) for n, (s, d) in enumerate(sorted(scored)[:5], 1)}
     assert {(r["qid"], r["doc_id"], r["rank"], round(r["score"], 6)) for r in found.collect()} == want
+
+
+def test_saved_index_takes_statistics_from_its_counts(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, None)], "doc_id long, text string")
+    saved, built = sinks.saved_index(spark, d, str(tmp_path / "index")), bm25.build_index(d)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "index" / "counts")).collect())) == [("a", 2), ("b", 1), ("c", 1)]
+    for name in ("term_stats", "corpus_stats"):
+        assert sorted(map(tuple, saved[name].collect())) == sorted(map(tuple, built[name].collect()))
