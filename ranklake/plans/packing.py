@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ranklake.functions import text as X
-from ranklake.operators import align, lookup, pack, parse
+from ranklake.operators import align, bm25, lookup, pack, parse
 from ranklake.plans import registry
 from ranklake.plans.registry import query
-from ranklake.plans.retrieval import RUNS_SQL, first_run
+from ranklake.plans.retrieval import RUNS_SQL, first_run, once
 from ranklake.plans.tables import LEGAL_SQL, documents, gold, parsed_legal, questions, toks
 
 
 def candidates(spark, sf, k=10):
-    """(qid, question, rank, unit_id, text): the best documents of each passage."""
-    a = first_run(spark, sf)
+    """(qid, question, rank, unit_id, text): the best documents of each passage, whose texts are looked up once an application."""
     d = documents(spark, sf).select("doc_id", F.col("doc_id").cast("string").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return a.where(F.col("rank") <= k).join(d, "doc_id").join(questions(spark, sf), "qid")
+    all_ranks = once(spark, sf, "candidates", lambda: bm25.kept(spark, first_run(spark, sf).join(d, "doc_id").join(questions(spark, sf), "qid")))
+    return all_ranks.where(F.col("rank") <= k)
 
 
 CAND_SQL = f"{RUNS_SQL}, cand AS (SELECT a.qid, rank, a.doc_id, coalesce(d.text, '') AS text, q.text AS question, score FROM a JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = a.qid WHERE rank <= 10)"
