@@ -2,7 +2,9 @@
 
 import json
 import math
+import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ranklake.operators import bm25, dense, fuse, metrics
+from ranklake.plans import registry
 from ranklake.sources import readers, sinks
 from ranklake.streaming.resumable import resumable
 
@@ -165,3 +168,18 @@ def test_saved_index_takes_statistics_from_its_counts(spark, tmp_path):
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "index" / "counts")).collect())) == [("a", 2), ("b", 1), ("c", 1)]
     for name in ("term_stats", "corpus_stats"):
         assert sorted(map(tuple, saved[name].collect())) == sorted(map(tuple, built[name].collect()))
+
+
+#: What a query scans once its run is found: rows of the run or of its candidates, k a question, and columns of documents that hold no text.
+SCANS = {
+    "hits_histogram": ["doc_id"],
+}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", SCANS)
+def test_after_a_search_only_its_run_is_read(spark, name):
+    """No posting is scanned, and documents meet the run where they are read: it is broadcast, they aren't sorted."""
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert [re.sub(r":\w+", "", x) for x in re.findall(r"ReadSchema: struct<([^>]*)>", plan)] == SCANS[name]
+    assert "SortMergeJoin" not in plan and "BuildRight" not in plan
