@@ -173,6 +173,7 @@ def test_saved_index_takes_statistics_from_its_counts(spark, tmp_path):
 #: What a query scans once its run is found: rows of the run or of its candidates, k a question, and columns of documents that hold no text.
 SCANS = {
     "hits_histogram": ["doc_id"],
+    "cut_diverse": ["qid,doc_id,rank", "doc_id,source"],
 }
 
 
