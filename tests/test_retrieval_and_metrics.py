@@ -174,6 +174,7 @@ def test_saved_index_takes_statistics_from_its_counts(spark, tmp_path):
 SCANS = {
     "hits_histogram": ["doc_id"],
     "cut_diverse": ["qid,doc_id,rank", "doc_id,source"],
+    "pack_exact": ["qid,rank,unit_id,text"],
 }
 
 
