@@ -175,6 +175,7 @@ SCANS = {
     "hits_histogram": ["doc_id"],
     "cut_diverse": ["qid,doc_id,rank", "doc_id,source"],
     "pack_exact": ["qid,rank,unit_id,text"],
+    "precision_recall": ["qid,doc_id,rank,text,question"],
 }
 
 
